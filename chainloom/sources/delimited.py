@@ -44,6 +44,8 @@ def sniff(sample: str, path: str = "") -> tuple[str, int]:
     try:
         found = csv.Sniffer().sniff(sample).delimiter
     except csv.Error:
+        found = ""
+    if not found or found.isalnum():  # nothing, or a letter that is merely frequent
         found = "\t" if "\t" in sample else ","
     if found in "\t,":
         return found, 0
