@@ -221,3 +221,17 @@ def read_limited(df: DataFrame, rows: int | None) -> DataFrame:
 def select_text(df: DataFrame, drop: list[str]) -> DataFrame:
     """Without columns of these names, whether or not the table has them."""
     return df.select(*(quoted(c) for c in df.columns if c not in set(drop)))
+
+
+def read_config(path: str) -> dict:
+    """A configuration file: JSON, or YAML where a YAML library is installed."""
+    with open(path) as f:
+        text = f.read()
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path} isn't JSON, and no YAML library is installed") from e
+        return yaml.safe_load(text)
