@@ -8,9 +8,10 @@
    hub of the largest estimated similarity, a hub being the member whose buckets are the largest. Similarities are
    estimated by bit counts of the signatures' differences, corrected for chance collisions; what lies MARGIN below the
    limit is no candidate, the rest is confirmed on full sets. Confirmed links make components.
-4. Buckets that still hold several components are searched in blocks: all pairs of members of different components are
-   estimated inside a task, and only those that may be linked leave it, to be confirmed as well. After that no pair of a
-   bucket is left unjudged, unless its two documents are connected anyway.
+4. Hubs whose buckets still hold several components have their members searched in blocks: all pairs of members of
+   different components are estimated inside a task, those that may be linked are confirmed there on full sets, and only
+   links that join components leave it. After that no pair of a bucket is left unjudged, unless its two documents are
+   connected anyway.
 
 Near-duplicates share no bucket with probability (1 - 0.8 ** ROWS) ** BANDS at the limit, 5e-8 with 4 rows and 32 bands.
 Hubs of many members are replicated and their members dealt out, so no hub's links meet in one task.
@@ -141,8 +142,8 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, limit: int, work: Workspace, name: str) -> DataFrame:
-    """Those of the pairs a, b whose full sets have at least limit per cent of their union in common."""
+def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, shingles: the whole sets of the documents in ids (doc_id, different ones)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,6 +152,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, limit: int, work: Wor
                 found = [shingle_set(x, width).tobytes() for x in as_bytes(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sized(ids), "doc_id", "left_semi")
+    return texts.mapInArrow(sets, "node long, shingles binary")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, limit: int, work: Workspace, name: str) -> DataFrame:
+    """Those of the pairs a, b whose full sets have at least limit per cent of their union in common."""
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -163,8 +171,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, limit: int, work: Wor
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sized(ids), "doc_id", "left_semi")
-    full = work.table(texts.mapInArrow(sets, "node long, shingles binary"), f"{name}-sets")
+    full = work.table(full_sets(ids, docs, width), f"{name}-sets")
     #: The side with more links is replicated for every MEMBERS of them, and its members are dealt to the replicas.
     degree = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("replicas"))
     members = pairs.join(degree, "b").withColumn("replica", F.pmod(F.xxhash64("a"), F.col("replicas")).cast("int"))
@@ -175,18 +182,37 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, limit: int, work: Wor
     return work.table(met.mapInArrow(linked, "a long, b long").distinct(), f"{name}-links")
 
 
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Number of elements that each of the other sorted sets has in common with one."""
+    joined = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, joined), len(one) - 1)
+    first = np.concatenate([[0], np.cumsum([len(o) for o in others])[:-1]])
+    return np.add.reduceat((one[at] == joined).astype(np.int64), first)
+
+
 def search_blocks(rows: DataFrame, limit: int) -> DataFrame:
-    """Pairs a, b of different components, of the same bucket and block pair, that may be linked.
+    """Links a, b between different components, of a hub's members in the same pair of blocks.
 
-    rows: key, lo, hi, side, node, component, n and the signature; a block pair's rows come one after the other.
+    rows: hub, lo, hi, side, node, component, n, shingles and the signature. All pairs of different components are
+    estimated by their signatures; those that may be linked are confirmed on their full sets at once. Of the links found
+    in a pair of blocks only those leave it that join components that earlier ones haven't joined, so a pair of blocks
+    gives fewer links than it has members.
     """
     most = limit_unequal(limit)
 
-    def judge(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def judge(group: dict[str, np.ndarray]) -> list[tuple[int, int]]:
         own = group["lo"][0] == group["hi"][0]
         first = np.arange(len(group["node"])) if own else np.flatnonzero(group["side"] == group["lo"][0])
         second = first if own else np.flatnonzero(group["side"] == group["hi"][0])
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        sets = {i: np.frombuffer(group["shingles"][i], np.uint64) for i in range(len(group["node"]))}
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                c = parent[c]
+            return c
+
+        out: list[tuple[int, int]] = []
         half = WORDS // BITS
         for at in range(0, len(first), BLOCK):  # a block that drew more members than BLOCK is taken in parts
             f = first[at : at + BLOCK]
@@ -200,42 +226,50 @@ def search_blocks(rows: DataFrame, limit: int) -> DataFrame:
                 n_f, n_t = group["n"][f][:, None], group["n"][t][None, :]
                 ok = (apart <= most) & (group["component"][f][:, None] != group["component"][t][None, :])
                 ok &= np.minimum(n_f, n_t) * 100 >= np.maximum(n_f, n_t) * limit
-                i, j = np.nonzero(ok)
-                out.append((group["node"][f[i]], group["node"][t[j]]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
-        return np.minimum(a, b), np.maximum(a, b)
-
-    names = ["key", "lo", "hi", "side", "node", "component", "n", *SIGNATURE]
+                if own and at == to:
+                    ok = np.triu(ok)
+                for i in np.flatnonzero(ok.any(axis=1)):
+                    here = int(f[i])
+                    there = [int(j) for j in t[np.flatnonzero(ok[i])] if root(int(group["component"][j])) != root(int(group["component"][here]))]
+                    if not there:
+                        continue
+                    both = overlaps(sets[here], [sets[j] for j in there])
+                    for j, common in zip(there, both.tolist(), strict=True):
+                        x, y = root(int(group["component"][here])), root(int(group["component"][j]))
+                        if x != y and 100 * common >= limit * (len(sets[here]) + len(sets[j]) - common):
+                            parent[max(x, y)] = min(x, y)
+                            out.append((int(group["node"][here]), int(group["node"][j])))
+        return out
+
+    names = ["hub", "lo", "hi", "side", "node", "component", "n", *SIGNATURE, "shingles"]
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
 
         def groups(x: dict[str, np.ndarray], last: bool) -> Iterator[dict[str, np.ndarray]]:
             nonlocal held
-            new = np.flatnonzero((x["key"][1:] != x["key"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])) + 1
-            cuts = [0, *new.tolist(), len(x["key"])]
+            new = np.flatnonzero((x["hub"][1:] != x["hub"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])) + 1
+            cuts = [0, *new.tolist(), len(x["hub"])]
             for at, to in zip(cuts[: None if last else -1], cuts[1 : None if last else -1], strict=False):
                 yield {k: v[at:to] for k, v in x.items()}
             held = None if last else {k: v[cuts[-2] :] for k, v in x.items()}
 
         def send(x: dict[str, np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
             for group in groups(x, last):
-                a, b = judge(group)
-                if len(a):
-                    pairs = np.unique(np.stack([a, b]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                if links := judge(group):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
-            if held is not None:
-                x = {k: np.concatenate([held[k], x[k]]) for k in names}
-            yield from send(x, False)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = {k: part.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
+                if held is not None:
+                    x = {k: np.concatenate([held[k], x[k]]) for k in names}
+                yield from send(x, False)
         if held is not None:
             yield from send(held, True)
 
-    dealt = rows.select(*names).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = rows.select(*names).repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi")
     return dealt.mapInArrow(searched, "a long, b long").distinct()
 
 
@@ -265,15 +299,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = LIMIT) -
     links = confirm(best, docs, width, limit, work, "stars")
     tied = work.table(components(links, work, "turn"), "components")
 
-    named = buckets.join(tied, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    #: Buckets with the same hub are searched as one, so a pair that shares many buckets is judged once.
+    around = buckets.join(hubs, "key").select(F.col("b").alias("hub"), "node").distinct()
+    named = around.join(tied, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    mixed = named.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("hub", "size")
+    unsettled = work.table(named.join(mixed, "hub"), "unsettled")
+    full = full_sets(unsettled.select(F.col("node").alias("doc_id")).distinct(), docs, width)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_rows = named.join(mixed, "key").join(sketch_of, "node").withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    open_rows = unsettled.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     open_rows = open_rows.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    rest = search_blocks(open_rows, limit).join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = work.table(rest, "rest")
-    more = confirm(rest, docs, width, limit, work, "rest")
+    open_rows = open_rows.join(sketch_of.join(full, "node"), "node")
+    more = work.table(search_blocks(open_rows, limit), "more")
     final = work.table(components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), work, "last"), "final")
 
     names = reps.join(final, "node", "left").select("print", F.coalesce("component", "node").alias("component"), "copies", "node").filter("copies > 1 OR component <> node").select("print", "component")
@@ -285,8 +322,9 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, limit: int = LIMIT) -> DataF
     work = Workspace(docs.sparkSession, "keep-one")
     found = work.table(near_duplicates(docs, width, limit), "found")
     drop = found.filter("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id", "text_hash").distinct()
-    this = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    kept = docs.join(sized(drop.select(F.struct("doc_id", "text_hash").alias("dropped"))), this == F.col("dropped"), "left_anti")
+    gone = sized(drop)
+    same = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["text_hash"])
+    kept = docs.join(gone, same, "left_anti")
     twice = found.filter("component_id IS NOT NULL AND doc_id = component_id").groupBy("doc_id", "text_hash").count().filter("count > 1")
     return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
