@@ -103,6 +103,15 @@ def test_spaced_residues_never_merge(spark):
     assert tokens.bpe_merges(tokens.word_counts(df, F.col("t")), 10) == []
 
 
+def test_subword_file(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    tok = tokenizers.Tokenizer(tokenizers.models.WordLevel({"[UNK]": 0, "C": 1, "A": 2}, "[UNK]"))
+    tok.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+    tok.save(str(tmp_path / "t.json"))
+    df = spark.createDataFrame([("C A x A",), (None,)], "t string")
+    assert [r[0] for r in df.select(tokens.subword_encoder(str(tmp_path / "t.json"), 3)(F.col("t"))).collect()] == [[1, 2, 0], []]
+
+
 def test_batch_padding(spark):
     df = spark.createDataFrame([(1, [5]), (1, [5, 6]), (2, [7])], "b int, input_ids array<int>")
     got = sorted((r.b, r.input_ids, r.attention_mask) for r in tokens.batch_padded(df, "b").collect())

@@ -106,6 +106,14 @@ def test_rules_and_small_scans(spark, tmp_path):
     assert s.select_text(spark.range(1).withColumn("a.b", F.lit(1)), ["id", "zz"]).columns == ["a.b"]
 
 
+def test_config(tmp_path):
+    (tmp_path / "c.json").write_text('{"a": {"b": 1}}')
+    (tmp_path / "c.txt").write_text("a: [")
+    assert s.read_config(str(tmp_path / "c.json")) == {"a": {"b": 1}}
+    with pytest.raises(Exception, match=r"JSON|expected"):
+        s.read_config(str(tmp_path / "c.txt"))
+
+
 ALLELES = [("A*02:01", "MA"), ("B*07:02", "MB"), ("DRB1*04:01", "MD")]
 
 
@@ -146,7 +154,7 @@ def test_assay_sources(spark, tmp_path, alleles):
     mri, seq = db.assay_sources(spark, write_assays(tmp_path), alleles)
     got = sorted((r.source, r.peptide, r.mhc_one_id or "-", r.mhc_two_id or "-", r.tra or "-", r.trb or "-") for r in seq.collect())
     assert got == [
-        ("cedar", "CCC", "-", "-", "-", "-"), ("cedar", "Q", "-", "-", "", "CB") if False else ("cedar", "Q", "-", "-", "-", "CB"), ("cedar", "Q2", "-", "-", "-", "-"),
+        ("cedar", "CCC", "-", "-", "-", "-"), ("cedar", "Q", "-", "-", "-", "CB"), ("cedar", "Q2", "-", "-", "-", "-"),
         ("iedb", "AAA + X", "A*02:01", "-", "-", "-"), ("iedb", "GIL ", "DRB1*04:01", "B*07:02", "-", "-"), ("iedb", "P ", "-", "-", "CA", "-"),
     ]
     assert sorted((r.data_source, r.study_id or "-", r.study_id_type) for r in mri.collect()) == [
