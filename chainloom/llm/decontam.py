@@ -36,55 +36,81 @@ WINDOW = 8
 PLAIN = 5  # plain words of a window at least
 SHORTEST = 5
 LEAST_SHARE = 0.6
-LEAST_WINDOWS = 24
+LEAST_WINDOWS = 6  # of a long item: thirteen words in a row
 TABLE = 2_000_000
+KEPT = 500_000  # words a worker keeps numbers of
 
 #: Fixed list of unit words.
-UNITS = frozenset("mm cm m km inch inches ft feet foot yard yards mile miles g kg mg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent degree degrees kmh mph w kw kwh v volt volts".split())
+UNITS = frozenset(b"mm cm m km inch inches ft feet foot yard yards mile miles g kg mg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent degree degrees kmh mph w kw kwh v volt volts".split())
 
 WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+")
 NUMBER = re.compile(rb"[0-9]+[a-z]{0,2}")
-SENTENCE = re.compile(rb"[.!?:;\n\"]")
-PLACEHOLDERS = {"number": 1, "unit": 2, "name": 3}
 
 FOUND = "doc_id long, item_id long, windows long, of_windows long, at long, slots long"
 
 
 class Template(NamedTuple):
-    hashes: np.ndarray  # of template words; placeholders have the numbers 1 to 3
+    hashes: np.ndarray  # of template words; the placeholders of numbers, units and names are 1, 2 and 3
     surface: np.ndarray  # hashes of the lower-cased words themselves
 
 
+def byte_table(members: bytes, high: bool = False) -> np.ndarray:
+    """Which bytes are members; with high, all bytes from 128 on as well."""
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    out[128:] = high
+    return out
+
+
+IN_WORD = byte_table(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", high=True)
+ENDS_SENTENCE = byte_table(b'.!?:;\n"')
+UPPER, LOWER = byte_table(bytes(range(65, 91))), byte_table(bytes(range(97, 123)), high=True)
+
+
 class Canon:
-    """Templates of texts; what a lower-cased word is on its own is kept for recurring words."""
+    """Templates of texts. Recurring lower-cased words have numbers, under which their hashes are kept."""
 
     def __init__(self) -> None:
-        self.kept: dict[bytes, tuple[int, int]] = {}
-
-    def word(self, low: bytes) -> tuple[int, int]:
-        got = self.kept.get(low)
-        if got is None:
-            if len(self.kept) > 500_000:
-                self.kept.clear()
-            h = xxhash.xxh3_64_intdigest(low) | 8  # keeps clear of the placeholders
-            kind = 1 if NUMBER.fullmatch(low) else 2 if low.decode("utf-8", "replace") in UNITS else h
-            got = self.kept[low] = (kind, h)
-        return got
+        self.number: dict[bytes, int] = {}
+        self.kind, self.surface = (np.empty(1 << 12, np.uint64) for _ in range(2))
+
+    def numbers(self, low: list[bytes]) -> np.ndarray:
+        try:
+            return np.fromiter(map(self.number.__getitem__, low), np.int64, len(low))
+        except KeyError:
+            pass
+        if len(self.number) > KEPT:
+            self.number.clear()
+        new = list({w for w in low if w not in self.number})
+        at = len(self.number)
+        while at + len(new) > len(self.kind):
+            self.kind, self.surface = (np.concatenate([x, np.empty_like(x)]) for x in (self.kind, self.surface))
+        for i, w in enumerate(new, at):
+            self.surface[i] = h = xxhash.xxh3_64_intdigest(w) | 8  # keeps clear of the placeholders
+            self.kind[i] = 1 if 48 <= w[0] <= 57 and NUMBER.fullmatch(w) else 2 if w in UNITS else h
+            self.number[w] = i
+        return np.fromiter(map(self.number.__getitem__, low), np.int64, len(low))
 
     def template(self, blob: bytes) -> Template:
-        words = WORD.findall(blob)
-        if not words:
+        n = self.numbers(WORD.findall(blob.lower()))
+        if not len(n):
             return Template(np.empty(0, np.uint64), np.empty(0, np.uint64))
-        pairs = np.array(list(map(self.word, WORD.findall(blob.lower()))), np.uint64)
-        hashes = pairs[:, 0].copy()
+        hashes = self.kind[n]
         #: Capitalised words whose predecessor doesn't end a sentence are names.
-        capital = np.fromiter((65 <= w[0] <= 90 and len(w) > 1 and w[1] > 96 for w in words), bool, len(words))
-        if capital.any():
-            gaps = WORD.split(blob)[:-1]
-            for i in np.flatnonzero(capital & (hashes > 3)):
-                if i and not SENTENCE.search(gaps[i]):
-                    hashes[i] = 3
-        return Template(hashes, pairs[:, 1])
+        raw = np.frombuffer(blob, np.uint8)
+        inside = np.concatenate([[False], IN_WORD[raw], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        second = np.minimum(starts + 1, len(raw) - 1)
+        capital = np.flatnonzero(UPPER[raw[starts]] & LOWER[raw[second]] & (second < ends) & (hashes > 3))
+        capital = capital[capital > 0]
+        if len(capital):
+            ended = np.concatenate([[0], np.cumsum(ENDS_SENTENCE[raw], dtype=np.int64)])
+            hashes[capital[ended[starts[capital]] == ended[ends[capital - 1]]]] = 3
+        return Template(hashes, self.surface[n])
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +118,12 @@ def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(t.hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, bool)
+    each = mix(t.hashes)
     out = np.full(n, width, np.uint64)
     for i in range(width):
-        out = mix(out ^ t.hashes[i : i + n]) + np.uint64(i)
+        out = out * STEP + each[i : i + n]
     plain = np.concatenate([[0], np.cumsum(t.hashes > 3)])
-    return out, plain[width:] - plain[:-width] >= min(PLAIN, width)
+    return mix(out), plain[width:] - plain[:-width] >= min(PLAIN, width)
 
 
 class Item(NamedTuple):
@@ -140,6 +167,9 @@ class Benchmark:
         order = np.argsort(join(hashes, np.uint64), kind="stable")
         self.hashes, self.owner, self.place = join(hashes, np.uint64)[order], join(owner, np.int64)[order], join(place, np.int64)[order]
         self.widths = sorted({i.width for i in self.items})
+        #: Most windows of documents are ruled out by their first bits.
+        self.first = np.zeros(1 << 20, bool)
+        self.first[self.hashes >> np.uint64(44)] = True
 
     def hits(self, doc: Template) -> Iterator[tuple[int, int, int]]:
         """(item, place in the item, place in the document) of equal windows."""
@@ -147,10 +177,8 @@ class Benchmark:
             h, tells = windows(doc, width)
             if not len(h):
                 continue
-            low = np.searchsorted(self.hashes, h)
-            hit = tells & (self.hashes[np.minimum(low, len(self.hashes) - 1)] == h)
-            for at in np.flatnonzero(hit):
-                i = low[at]
+            for at in np.flatnonzero(tells & self.first[h >> np.uint64(44)]):
+                i = int(np.searchsorted(self.hashes, h[at]))
                 while i < len(self.hashes) and self.hashes[i] == h[at]:
                     yield int(self.owner[i]), int(self.place[i]), int(at)
                     i += 1
