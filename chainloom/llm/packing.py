@@ -34,16 +34,58 @@ WINDOW = 2048
 END_ID = 1
 MIN_PIECE = 256  # tokens that a source is served at least, its rest apart
 BLOCK_TOKENS = 1 << 19
+TAIL = ".,;:!?*#%&$|\")]}-"  # punctuation that is taken off a chunk's end
 CHUNK = re.compile(r"[^ \t\n\r]+")
-KEPT = 600_000  # chunks whose ids a worker keeps
+KEPT = 1_000_000  # chunks in a generation of those whose ids a worker keeps
 BATCH = 8192  # unseen chunks that go to the library at once
+PIECE = 1 << 19  # characters whose chunks are looked up together
 
 BLOCKS = "block long, docs array<struct<doc_id:long,source:string,n:long>>, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
+def core_and_tail(chunk: str) -> tuple[str, str]:
+    """A chunk as two whose ids, one after the other, are the chunk's: many chunks differ in case or punctuation only.
+
+    The pre-tokeniser ends a run of letters where punctuation begins, and the normaliser lower-cases; beyond Latin-1,
+    where cases aren't one to one, chunks stay as they are, and so do those that might hold a special token.
+    """
+    if chunk.isascii() and chunk.isalpha():
+        return chunk.lower(), ""
+    if "<|" in chunk:
+        return chunk, ""
+    core = chunk.rstrip(TAIL)
+    if not core or not core[-1].isalpha() or core[-1] >= "\u0100":
+        core = chunk
+    tail = chunk[len(core) :]
+    return (core.lower() if core.isascii() or max(core) < "\u0100" else core), tail
+
+
+def chunks_of(text: str) -> list[str]:
+    """White-space chunks; the four separators that Python alone takes for white space stay inside of chunks."""
+    if any(x in text for x in "\x1c\x1d\x1e\x1f"):
+        return CHUNK.findall(text)
+    return text.split()
+
+
+class Kept(dict):
+    """Ids by chunk; what is looked up in vain is noted, so that hits cost no more than in a plain dict."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.unseen: list[str] = []
+
+    def __missing__(self, chunk: str) -> None:
+        self.unseen.append(chunk)
+
+
 class ChunkIds:
-    """Ids of texts as little-endian 32-bit numbers, by way of their white-space chunks."""
+    """Ids of texts as little-endian 32-bit numbers, by way of their white-space chunks.
+
+    Ids of chunks are kept in two generations: when the newer one is full it becomes the older one, so that frequent
+    chunks stay and memory is bounded. Unseen chunks go to the library joined by a special token's string, which it
+    cuts out before anything else, and are told apart by that token's id; chunks that hold the string go alone.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,25 +94,92 @@ class ChunkIds:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.kept: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        chunks = CHUNK.findall(text)
-        try:
-            return b"".join(map(self.kept.__getitem__, chunks))
-        except KeyError:
-            pass
-        out = []
-        for at in range(0, len(chunks), BATCH):
-            part = chunks[at : at + BATCH]
-            if len(self.kept) + len(part) > KEPT:
-                self.kept.clear()
-            unseen = list({x for x in part if x not in self.kept})
-            for x, got in zip(unseen, self.tok.encode_batch_fast(unseen, add_special_tokens=False) if unseen else [], strict=True):
-                self.kept[x] = np.array(got.ids, "<u4").tobytes()
-            out += map(self.kept.__getitem__, part)
+        special = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special]
+        self.cut, self.between = special[-1] if special else (-1, "")
+        self.model = self.tok.model
+        self.new, self.old = Kept(), Kept()
+
+    def learn(self, chunks: list[str]) -> None:
+        """Keep the ids of chunks that neither generation has."""
+        together, alone = [], []
+        for x in chunks:
+            if x.isascii() and x.isalpha() and x.islower():  # one piece for the pre-tokeniser, and normal already
+                self.new[x] = np.array([t.id for t in self.model.tokenize(x)], "<u4").tobytes()
+            else:
+                (together if self.between and self.between not in x else alone).append(x)
+        for at in range(0, len(together), BATCH):
+            part = together[at : at + BATCH]
+            ids = np.array(self.tok.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.cut), len(ids)).tolist()
+            raw, begin = ids.tobytes(), 0
+            for x, end in zip(part, ends, strict=True):
+                self.new[x] = raw[4 * begin : 4 * end]
+                begin = end + 1
+        for x in alone:
+            self.new[x] = np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def keep(self, unseen: set[str]) -> None:
+        """Afterwards the newer generation has the ids of all these chunks."""
+        halves = {}
+        for x in unseen:
+            if (got := self.old.get(x)) is not None:
+                self.new[x] = got
+            else:
+                halves[x] = core_and_tail(x)
+        needed = {y for h in halves.values() for y in h if y and y not in self.new}
+        for y in list(needed):
+            if (got := self.old.get(y)) is not None:
+                self.new[y] = got
+                needed.discard(y)
+        self.learn(list(needed))
+        for x, (core, tail) in halves.items():
+            self.new[x] = self.new[core] + self.new[tail] if tail else self.new[core]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts, whose unseen chunks are looked up together."""
+        if len(self.new) > KEPT:
+            self.old, self.new = self.new, Kept()
+        look, out, late = self.new.__getitem__, [], []
+        for i, text in enumerate(texts):
+            chunks = chunks_of(text)
+            known = len(self.new.unseen)
+            found = list(map(look, chunks))
+            if len(self.new.unseen) > known:
+                late.append((i, chunks))
+                found = []
+            out.append(b"".join(found))
+        unseen, self.new.unseen = self.new.unseen, []
+        self.keep(set(unseen))
+        for i, chunks in late:
+            out[i] = b"".join(map(look, chunks))
+        return out
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text of any length, piece by piece; pieces end at white space."""
+        out, at = [], 0
+        while at < len(text):
+            end = at + PIECE
+            while end < len(text) and text[end] not in " \t\n\r":
+                end += 1
+            out += self.ids([text[at:end]])
+            at = end
         return b"".join(out)
 
+    def all(self, texts: Iterator[str]) -> Iterator[bytes]:
+        """Ids of each text, in order; texts are taken together up to PIECE characters."""
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            if size + len(t) > PIECE and held:
+                yield from self.ids(held)
+                held, size = [], 0
+            if len(t) > PIECE:
+                yield self.whole(t)
+            else:
+                held.append(t)
+                size += len(t)
+        yield from self.ids(held)
+
 
 def encode_blocks(docs: DataFrame, path: str) -> DataFrame:
     """Rows of BLOCKS; ids are 16-bit where the vocabulary allows, each document's with END_ID at the end."""
@@ -89,8 +198,9 @@ def encode_blocks(docs: DataFrame, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([held], schema.field(1).type), pa.array([stored.tobytes()], pa.binary())], schema=schema)
 
         for batch in batches:
-            for doc_id, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = encoder.ids(text.as_py() or "") + end
+            texts = (x.as_py() or "" for x in batch.column(2))
+            for doc_id, source, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.all(texts), strict=True):
+                own += end
                 held.append({"doc_id": doc_id, "source": source, "n": len(own) // 4})
                 ids.append(own)
                 tokens += len(own) // 4
