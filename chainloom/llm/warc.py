@@ -30,6 +30,7 @@ LEAST_REVISIT = 100  # bytes of a payload that is worth a revisit record
 ROWS_PER_FILE = 2048
 FILE_BYTES = 512 << 20  # payload bytes of an archive at most, or one row
 OUT_BYTES = 8 << 20
+BROADCAST_REVISITS = 200_000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
 
@@ -54,7 +55,8 @@ def headers(record_type: str) -> list[tuple[str, str]]:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Archives under path, each payload of at least LEAST_REVISIT bytes once and then revisits of it.
 
-    What is equal is found on digests and sizes alone; html moves only when revisits are joined to it by page_id.
+    What is equal is found on digests and sizes alone. Revisits are few against pages: up to BROADCAST_REVISITS of them,
+    which are counted, go to the pages; beyond, html moves to be joined by page_id.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
@@ -62,6 +64,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     keys = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "digest")
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "refers_to")
     revisits = keys.join(firsts, "digest").filter("page_id <> refers_to").select(F.col("page_id").alias("again"), F.col("digest").alias("of"), "refers_to").distinct()
+    revisits = Workspace(pages.sparkSession, "revisits").table(revisits, "revisits")
+    revisits = F.broadcast(revisits) if revisits.count() <= BROADCAST_REVISITS else revisits
     told = rows.join(revisits, (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("of")), "left")
 
     def record(kind: str) -> str:
