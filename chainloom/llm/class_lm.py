@@ -1,15 +1,19 @@
 """Operator 10: a class-based bigram model after Brown, with classes by exchange clustering.
 
-Words are lower-cased (A-Z) runs of non-blank bytes; each text ends with one end token. The FREQUENT most frequent words
-are clustered one by one; every other word belongs to one of GROUPS groups by its last bytes, and the groups are
-clustered like words. Counts of words and of neighbours come from all training texts. Exchange moves a word to the
-class that raises the likelihood of the class bigrams most, until a round moves none or ROUNDS are over.
+Words are lower-cased (A-Z) runs of non-blank bytes; each text ends with one end token. Every word of the vocabulary has a
+class of its own choice. The FREQUENT most frequent words, and GROUPS groups of the rest by last bytes, are exchanged one by
+one until a round moves none, which gives first classes. From them the other words move one by one, in rounds over the
+texts: each goes to the class that predicts its neighbours' classes best, its own counts taken out of the class that it is
+in. Rounds of the TABLE most frequent words go on until the likelihood of the class bigrams rises by less than SETTLED of
+itself; then the words beyond the table choose, by their neighbours in those classes. Counts of words and of neighbours come
+from all training texts. There are CLASSES classes at least, and the cube root of the vocabulary if that is more.
 
     log10 P(text) = sum over tokens of  log10 P(class | class before) + log10 P(word | class)
     P(c | b) = (n(b, c) + 0.5) / (n(b) + 0.5 * classes)       P(w | c) = (n(w) + 1) / (n(c) + types(c) + 1)
 
-Words of the whole vocabulary are told apart by 64-bit hashes. The counts of at most TABLE frequent words go to every
-worker as one sorted table of bounded size; rarer words' counts are joined by shuffle, so no count is left out.
+Words of the whole vocabulary are told apart by 64-bit hashes, whose last bits are the word's group. The counts and classes
+of at most TABLE frequent words go to every worker as one sorted table of bounded size; rarer words' counts and classes are
+joined by shuffle, so none is left out. A word that isn't in the training texts has its group's class.
 
 Defined results: a null or empty text is its end token alone; rows with a null doc_id train and aren't held out; repeated
 rows count each time and each give a row; without training texts every count is 0; an empty table gives no rows; columns
@@ -32,48 +36,120 @@ from chainloom.llm.common import Workspace, as_bytes, documents, fold_of, segmen
 
 FREQUENT = 500
 GROUPS = 64
-CLASSES = 32
-ROUNDS = 8
+CLASSES = 32  # at least
+SETTLED = 0.001  # rounds of words end when the likelihood rises by less than this share
 TABLE = 1 << 19
 KEPT = 500_000  # words a worker keeps numbers of
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end token's hash
-FLUSH = 1 << 21  # tokens that a worker gathers before it adds equal ones up
+FLUSH = 1 << 20  # tokens that a worker gathers before it adds equal ones up
+SLICE = 1 << 18  # tokens that are looked up at a time, if no text is longer
+BUCKET = 200_000  # tokens to a bucket of words that move
+WORDS = 2048  # words whose moves are weighed at a time
 
-LOCAL = "doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, rare array<long>"
+LOCAL = "doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, rare array<long>, before array<int>, after array<int>"
+
+
+def group_of(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(GROUPS - 1)).astype(np.int64)
+
+
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & ~(GROUPS - 1) | zlib.crc32(word[-2:]) % GROUPS
 
 
 class Words:
-    """Numbers for words: equal words of a worker get equal numbers, with the word's hash and group by number."""
+    """Numbers for words: equal words of a worker get equal numbers, with the word's hash by number."""
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.hash, self.group, self.extra = np.empty(1 << 12, np.uint64), np.empty(1 << 12, np.int32), []
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in self.number})
+        self.hash = np.empty(1 << 12, np.uint64)
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        if len(self.number) > KEPT:
+            self.clear()
+        new = list(set(words).difference(self.number))
         at = len(self.number)
         while at + len(new) > len(self.hash):
-            self.hash, self.group = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.group))
-        self.hash[at : at + len(new)] = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-        self.group[at : at + len(new)] = [zlib.crc32(w[-2:]) % GROUPS for w in new]
+            self.hash = np.concatenate([self.hash, np.empty_like(self.hash)])
+        self.hash[at : at + len(new)] = np.fromiter(map(word_hash, new), np.uint64, len(new))
         self.number.update(zip(new, range(at, at + len(new)), strict=True))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return self.hash[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))]
 
     def parts(self, blob: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Hashes and groups of a text's words, segment by segment."""
-        if len(self.number) > KEPT:
-            self.clear()
         for part in segments(blob):
             if words := part.lower().split():
-                n = self.numbers(words)
-                yield self.hash[n], self.group[n]
+                h = self.hashes(words)
+                yield h, group_of(h)
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """docs with the hashes of each text's words, as bytes, in the place of the last column, the text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Words()
+        for batch in batches:
+            first, sizes, words, done = 0, [], [], []
+
+            def out(first: int, sizes: list[int], done: list[np.ndarray], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64) * 8]).astype(np.int32)
+                whole = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(done))])
+                return pa.RecordBatch.from_arrays([*(c.slice(first, len(sizes)) for c in batch.columns[:-1]), whole], names=names)
+
+            for blob in as_bytes(batch.column(batch.num_columns - 1)):
+                sizes.append(0)
+                for part in segments(blob):
+                    new = part.lower().split()
+                    sizes[-1] += len(new)
+                    words += new
+                    if len(words) >= SLICE:
+                        done.append(table.hashes(words))
+                        words = []
+                if sum(map(len, done)) >= FLUSH:
+                    yield out(first, sizes, [*done, table.hashes(words)])
+                    first, sizes, words, done = first + len(sizes), [], [], []
+            if sizes:
+                yield out(first, sizes, [*done, table.hashes(words)])
+
+    names = [*docs.columns[:-1], "words"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    return docs.mapInArrow(cut, f"{kinds}{', ' if kinds else ''}words binary")
+
+
+class Slice(NamedTuple):
+    """Some texts of a batch, from first to last: their words' hashes, one after the other, and each text's length."""
+
+    batch: pa.RecordBatch
+    first: int
+    last: int
+    hashes: np.ndarray
+    sizes: np.ndarray
+
+    def texts(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def places(self) -> np.ndarray:
+        """Place of each word if a boundary stands before each text and after the last one."""
+        return np.arange(len(self.hashes)) + self.texts() + 1
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1)
+        if not len(column):
+            continue
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = column.buffers()[2]
+        first = 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + 8 * SLICE, "right")) - 1)
+            n = int(ends[last] - ends[first]) // 8
+            h = np.frombuffer(data, np.uint64, n, int(ends[first])) if n else np.empty(0, np.uint64)
+            yield Slice(batch, first, last, h, np.diff(ends[first : last + 1]) // 8)
+            first = last
 
 
 class Summed:
@@ -82,13 +158,11 @@ class Summed:
     def __init__(self) -> None:
         self.keys, self.counts, self.size = [], [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+    def add(self, keys: np.ndarray) -> None:
+        keys, counts = np.unique(keys, return_counts=True)
         self.keys.append(keys)
-        self.counts.append(np.ones(len(keys), np.int64) if counts is None else counts)
+        self.counts.append(counts)
         self.size += len(keys)
-        if self.size >= FLUSH and len(self.keys) > 1:
-            keys, counts = self.total()
-            self.keys, self.counts, self.size = [keys], [counts], len(keys) // 2
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
@@ -97,34 +171,23 @@ class Summed:
         return keys, np.bincount(where, np.concatenate(self.counts), len(keys)).astype(np.int64)
 
 
-def blobs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[bytes]:
-    for batch in batches:
-        yield from as_bytes(batch.column(column))
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
-    """hash, grp, n of every word and the end token."""
+    """hash, grp, n of every word and the end token. texts: words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums, ends = Words(), Summed(), 0
-        groups: dict[int, int] = {}
+        sums, ends = Summed(), 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             keys, n = sums.total()
-            grp = np.fromiter(map(groups.__getitem__, keys.tolist()), np.int32, len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(grp), pa.array(n)], names=["hash", "grp", "n"])
-
-        for blob in blobs(batches, 0):
-            ends += 1
-            for h, g in words.parts(blob):
-                once, at = np.unique(h, return_index=True)
-                groups.update(zip(once.tolist(), g[at].tolist(), strict=True))
-                sums.add(h)
-            if len(groups) > FLUSH:  # what one task holds is bounded; the shuffle adds up the rest
-                yield from out()
-                sums, groups = Summed(), {}
-        if groups:
-            yield from out()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(group_of(keys).astype(np.int32)), pa.array(n)], names=["hash", "grp", "n"])
+
+        for s in slices(batches):
+            ends += len(s.sizes)
+            sums.add(s.hashes)
+            if sums.size > FLUSH:  # what one task holds is bounded; the shuffle adds up the rest
+                yield out()
+                sums = Summed()
+        yield out()
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([int(END.view(np.int64))]), pa.array([-1], pa.int32()), pa.array([ends])], names=["hash", "grp", "n"])
 
@@ -132,12 +195,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Table(NamedTuple):
-    """Counts of frequent words, sorted by hash, and the clustered number of the most frequent ones (-1: by group)."""
+    """Counts of frequent words, sorted by hash, and the item of each: below FREQUENT for the most frequent ones."""
 
     hash: np.ndarray
     count: np.ndarray
     item: np.ndarray
-    own: np.ndarray  # groups of the words that are clustered one by one
+    own: np.ndarray  # groups of the words that are clustered first
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 for a rarer word."""
@@ -147,13 +210,12 @@ class Table(NamedTuple):
         return np.where(self.hash[at] == h, at, -1)
 
     def items(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Clustered item of each word: its own, or its group's."""
+        """Item of each word: its own, or its group's for a word beyond the table."""
         at = self.find(h)
-        own = np.where(at >= 0, self.item[at], -1) if len(self.hash) else at
-        return np.where(own >= 0, own, FREQUENT + group)
+        return np.where(at >= 0, self.item[at], FREQUENT + group) if len(self.hash) else FREQUENT + group
 
 
-ITEMS = FREQUENT + GROUPS + 1  # frequent words, groups, the boundary between texts
+ITEMS = FREQUENT + GROUPS + 1  # frequent words, groups, the boundary between texts; the table's other words follow
 EDGE = ITEMS - 1
 
 
@@ -172,24 +234,22 @@ def frequent(counts: DataFrame) -> Table:
     got = counts.filter("grp >= 0").filter(level >= least).select("hash", "grp", "n").toArrow()
     h, n = got["hash"].to_numpy().view(np.uint64), got["n"].to_numpy()
     rank = np.lexsort((h, -n))
-    item = np.full(len(h), -1)
-    item[rank[:FREQUENT]] = np.arange(min(FREQUENT, len(rank)))
+    item = np.empty(len(h), np.int64)
+    item[rank] = np.arange(len(rank)) + np.where(np.arange(len(rank)) < FREQUENT, 0, ITEMS - FREQUENT)
     order = np.argsort(h)
     return Table(h[order], n[order], item[order], got["grp"].to_numpy()[rank[:FREQUENT]])
 
 
 def neighbours(texts: DataFrame, table: Callable[[], Table]) -> np.ndarray:
-    """Counts of neighbouring items over all texts, boundaries included: a matrix of fixed size."""
+    """Counts of neighbouring items over all texts, boundaries included; words that aren't the most frequent by group."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, sums = Words(), table(), np.zeros(ITEMS * ITEMS, np.int64)
-        for blob in blobs(batches, 0):
-            before = EDGE
-            for h, g in words.parts(blob):
-                items = known.items(h, g)
-                np.add.at(sums, np.concatenate([[before], items[:-1]]) * ITEMS + items, 1)
-                before = items[-1]
-            sums[before * ITEMS + EDGE] += 1
+        known, sums = table(), np.zeros(ITEMS * ITEMS, np.int64)
+        for s in slices(batches):
+            items = known.items(s.hashes, group_of(s.hashes))
+            line = np.full(len(items) + len(s.sizes) + 1, EDGE)
+            line[s.places()] = np.where(items < ITEMS, items, FREQUENT + group_of(s.hashes))
+            sums += np.bincount(line[:-1] * ITEMS + line[1:], minlength=ITEMS * ITEMS)
         full = np.flatnonzero(sums)
         if len(full):
             yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[full])], names=["pair", "n"])
@@ -204,8 +264,8 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, most: int = ROUNDS) -> np.ndarray:
-    """Class of each item by exchange clustering. The boundary keeps class 0 to itself."""
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Class of each item by exchange clustering until none moves. The boundary keeps class 0 to itself."""
     bigrams = bigrams.astype(np.float64)
     items = np.argsort(-bigrams.sum(axis=1), kind="stable")
     items = items[items != EDGE]
@@ -214,7 +274,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, most: int = ROUNDS) ->
     one = np.eye(classes)
     right, left = bigrams @ one[of], bigrams.T @ one[of]  # by item: counts of the classes after and before it
     m = one[of].T @ right
-    for _ in range(most):
+    moved = 1
+    while moved:  # each move raises the likelihood, so this ends
         moved = 0
         for w in items:
             a, own = of[w], bigrams[w, w]
@@ -242,74 +303,271 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, most: int = ROUNDS) ->
                 right[:, b] += bigrams[:, w]
                 left[:, a] -= bigrams[w, :]
                 left[:, b] += bigrams[w, :]
-        if not moved:
-            break
     return of
 
 
+class Classes(NamedTuple):
+    table: Table
+    of: np.ndarray  # class of each item
+    n: int
+
+
+CONTEXT = "bucket int, words binary, sizes binary, codes binary, ns binary"
+
+
+def class_lines(s: Slice, known: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes with a boundary before each text and after the last; whether that is a rare word's group's; items; places."""
+    items, at = known.table.items(s.hashes, group_of(s.hashes)), s.places()
+    line, rare = np.full(len(items) + len(s.sizes) + 1, known.of[EDGE]), np.zeros(len(items) + len(s.sizes) + 1, bool)
+    line[at], rare[at] = known.of[items], (items >= FREQUENT) & (items < EDGE)
+    return line, rare, items, at
+
+
+def bigrams_of(texts: DataFrame, known: Callable[[], Classes]) -> tuple[np.ndarray, np.ndarray]:
+    """Class bigrams of words in the table, and those with a rare word, which counts for its group's class."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = known()
+        n, sums = now.n, np.zeros(2 * now.n**2, np.int64)
+        for s in slices(batches):
+            line, rare, _, _ = class_lines(s, now)
+            sums += np.bincount(line[:-1] * n + line[1:] + n * n * (rare[:-1] | rare[1:]), minlength=2 * n * n)
+        full = np.flatnonzero(sums)
+        if len(full):
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[full])], names=["pair", "n"])
+
+    got = texts.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    n = known().n
+    out = np.zeros(2 * n * n, np.float64)
+    out[got["pair"].to_numpy()] = got["n"].to_numpy()
+    return out[: n * n].reshape(n, n), out[n * n :].reshape(n, n)
+
+
+def contexts(texts: DataFrame, known: Callable[[], Classes], beyond: bool, buckets: int) -> DataFrame:
+    """Rows of CONTEXT: how often each code of a neighbour stands beside each word that moves, by bucket of the word's hash.
+
+    The words are those of the table but the most frequent, or those beyond it. Codes are the class after, or classes + the
+    class before; 2 * classes more for a rare neighbour, whose class is its group's here.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = known(), [], 0
+
+        def rows() -> pa.RecordBatch:
+            h, code = (np.concatenate(c) for c in zip(*held, strict=True))
+            once, word = np.unique(h, return_inverse=True)
+            keys, n = np.unique(word * (4 * now.n) + code, return_counts=True)
+            sizes = np.bincount(keys // (4 * now.n), minlength=len(once))
+            bucket = (once >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends, below = np.append(first, len(once)), np.concatenate([[0], np.cumsum(sizes)])
+            names = once if beyond else now.table.find(once).astype(np.int32)
+            cut = lambda x, ends: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+            packed = [cut(names, ends), cut(sizes.astype(np.int16), ends), cut((keys % (4 * now.n)).astype(np.int16), below[ends]), cut(n.astype(np.int32), below[ends])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *packed], names=["bucket", "words", "sizes", "codes", "ns"])
+
+        for s in slices(batches):
+            line, rare, items, at = class_lines(s, now)
+            moves = np.flatnonzero(rare[at] if beyond else items >= ITEMS)
+            at, h = at[moves], s.hashes[moves]
+            for beside, shift in ((at + 1, 0), (at - 1, now.n)):
+                held.append((h, (shift + line[beside] + 2 * now.n * rare[beside]).astype(np.int16)))
+            size += 2 * len(moves)
+            if size >= FLUSH:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
+
+    return texts.mapInArrow(counted, CONTEXT)
+
+
+def rare_pairs(texts: DataFrame, known: Callable[[], Classes]) -> DataFrame:
+    """hash, next of words beyond the table that stand in a row."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = known()
+        for s in slices(batches):
+            _, rare, _, at = class_lines(s, now)
+            both = np.flatnonzero(rare[at] & rare[at + 1])
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(s.hashes[x].view(np.int64)) for x in (both, both + 1)], names=["hash", "next"])
+
+    return texts.mapInArrow(found, "hash long, next long")
+
+
+def likelihood(m: np.ndarray) -> float:
+    """Of class bigrams, up to what doesn't depend on classes."""
+    return float(xlogx(m).sum() - xlogx(m.sum(axis=0)).sum() - xlogx(m.sum(axis=1)).sum())
+
+
+def best_classes(own: np.ndarray, right: np.ndarray, left: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class of each word that predicts its neighbours best. right, left: by word, counts of classes after and before."""
+    n = len(m)
+    rows, cols, log = m.sum(axis=1), m.sum(axis=0), np.log(m + 0.5)
+    r, l = right.sum(axis=1), left.sum(axis=1)
+    gain = right @ log.T + left @ log - r[:, None] * np.log(rows + 0.5 * n) - l[:, None] * np.log(cols + 0.5 * n)
+    less = lambda x, y: np.log(np.maximum(x - y, 0) + 0.5)
+    less_all = lambda x, y: np.log(np.maximum(x - y, 0) + 0.5 * n)
+    stay = (right * less(m[own], right)).sum(axis=1) + (left * less(m.T[own], left)).sum(axis=1) - r * less_all(rows[own], r) - l * less_all(cols[own], l)
+    gain[np.arange(len(own)), own] = stay
+    gain[:, 0] = -np.inf  # the boundary's
+    best = gain.argmax(axis=1)
+    return np.where(gain[np.arange(len(own)), best] > stay + 1e-9, best, own)
+
+
+def moved(rows: DataFrame, known: Callable[[], Classes], beyond: bool, m: np.ndarray) -> DataFrame:
+    """hash, cls of each word in rows of CONTEXT; with hash null, cls is a bigram of classes and n its count."""
+    n = len(m)
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = known(), np.zeros(n * n, np.int64)
+
+        def words(parts: list[list[bytes]]) -> pa.RecordBatch:
+            kinds = (np.uint64 if beyond else np.int32, np.int16, np.int16, np.int32)
+            names, sizes, code, count = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*parts, strict=True), kinds, strict=True))
+            once, word = np.unique(names, return_inverse=True)
+            of = np.repeat(word, sizes)
+            order = np.argsort(of, kind="stable")
+            of, code, count = of[order], code[order].astype(np.int64), count[order]
+            once = once if beyond else now.table.hash[once]
+            own = now.of[now.table.items(once, group_of(once))]
+            best = np.empty(len(once), np.int64)
+            for at in range(0, len(once), WORDS):
+                a, b = np.searchsorted(of, [at, at + WORDS])
+                k = min(WORDS, len(once) - at)
+                full = np.bincount((of[a:b] - at) * 2 * n + code[a:b] % (2 * n), count[a:b], k * 2 * n).reshape(k, 2 * n)
+                best[at : at + k] = best_classes(own[at : at + k], full[:, :n], full[:, n:], m)
+            certain = code < 2 * n
+            mine, code, count = best[of[certain]], code[certain], count[certain]
+            sums[:] += np.bincount(np.where(code < n, mine * n + code, (code - n) * n + mine), count, n * n).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(best.astype(np.int32)), pa.array(np.zeros(len(once), np.int64))], names=["hash", "cls", "n"])
+
+        bucket, parts = None, []
+        for batch in batches:
+            for b, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if parts and b != bucket:
+                    yield words(parts)
+                    parts = []
+                bucket = b
+                parts.append(part)
+        if parts:
+            yield words(parts)
+        full = np.flatnonzero(sums)
+        if len(full):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.array(full.astype(np.int32)), pa.array(sums[full])], names=["hash", "cls", "n"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(move, "hash long, cls int, n long")
+
+
 class ClassModel(NamedTuple):
     table: Table
     of: np.ndarray  # class of each item
     step: np.ndarray  # log10 P(class | class before)
     among: np.ndarray  # log10 (n(class) + types(class) + 1)
+    rarer: DataFrame  # hash, cls of the words beyond the table
 
 
-def train(texts: DataFrame, work: Workspace) -> tuple[ClassModel, DataFrame, int, int]:
-    """The model, the counts of all words, and the numbers of training tokens and of different ones."""
+def learn(texts: DataFrame, work: Workspace) -> tuple[ClassModel, DataFrame, int, int]:
+    """The model, the counts of all words, and the numbers of training tokens and of different ones. texts: words."""
+    spark = texts.sparkSession
     counts = work.table(word_counts(texts), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n = max(CLASSES, min(ITEMS // 2, round(total["v"] ** (1 / 3))))
     table = frequent(counts)
-    shared = texts.sparkSession.sparkContext.broadcast(table)
-    bigrams = neighbours(texts, lambda: shared.value)
-    of = exchange(bigrams)
-    types = np.zeros(ITEMS)
-    types[: len(table.own)] = 1
-    for r in counts.filter("grp >= 0").groupBy("grp").count().collect():  # GROUPS rows
-        types[FREQUENT + r["grp"]] = r["count"]
-    np.subtract.at(types, FREQUENT + table.own, 1)
-    one = np.eye(CLASSES)[of]
-    m = one.T @ bigrams @ one
-    step = np.log10((m + 0.5) / (m.sum(axis=1, keepdims=True) + 0.5 * CLASSES))
-    return ClassModel(table, of, step, np.log10(m.sum(axis=0) + types @ one + 1)), counts, total["n"], total["v"]
+    shared = spark.sparkContext.broadcast(table)
+    first = exchange(neighbours(texts, lambda: shared.value), n)
+    group = np.zeros(len(table.hash), np.int64)
+    group[table.item - np.where(table.item < ITEMS, 0, ITEMS - FREQUENT)] = group_of(table.hash)
+    of = np.concatenate([first, first[FREQUENT + group[FREQUENT:]]])
+    buckets = 12 + total["n"] // BUCKET
+    most, before = -np.inf, None
+    while True:
+        held = spark.sparkContext.broadcast(Classes(table, of, n))
+        known = lambda held=held: held.value
+        m, unsure = bigrams_of(texts, known)
+        now = likelihood(m + unsure)
+        if before is not None and now < most:
+            of, m, unsure, known = before  # moves at once did harm: the round before stands
+            break
+        if now - most < SETTLED * abs(now):
+            break
+        most, before = now, (of, m, unsure, known)
+        got = moved(contexts(texts, known, False, buckets), known, False, m + unsure).filter("hash IS NOT NULL").select("hash", "cls").toArrow()
+        of = of.copy()
+        of[table.item[table.find(got["hash"].to_numpy().view(np.uint64))]] = got["cls"].to_numpy()
+        if (of == before[0]).all():
+            break
+    rare = work.table(moved(contexts(texts, known, True, buckets), known, True, m + unsure), "rarer")
+    rarer = rare.filter("hash IS NOT NULL").select("hash", "cls")
+    for r in rare.filter("hash IS NULL").groupBy("cls").agg(F.sum("n").alias("n")).collect():  # at most classes ** 2 rows
+        m.ravel()[r["cls"]] += r["n"]
+    beside = rare_pairs(texts, known).join(rarer, "hash").select(F.col("cls").alias("left"), F.col("next").alias("hash"))
+    for r in beside.join(rarer, "hash").groupBy("left", "cls").agg(F.count(F.lit(1)).alias("n")).collect():
+        m[r["left"], r["cls"]] += r["n"]
+    types = np.bincount(of[table.item], minlength=n).astype(np.float64)
+    for r in rarer.groupBy("cls").count().collect():
+        types[r["cls"]] += r["count"]
+    step = np.log10((m + 0.5) / (m.sum(axis=1, keepdims=True) + 0.5 * n))
+    return ClassModel(table, of, step, np.log10(m.sum(axis=0) + types + 1), rarer), counts, total["n"], total["v"]
+
+
+def train(texts: DataFrame, work: Workspace) -> tuple[ClassModel, DataFrame, int, int]:
+    """What ``learn`` gives, from the column text."""
+    return learn(work.table(hashed(texts.select("text")), "train-words"), work)
 
 
 def score(docs: DataFrame, trains: Column, held_out: Column) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    work = Workspace(docs.sparkSession, "class-lm")
-    text = F.col("text").cast("string").alias("text")
-    model, counts, n_train, n_types = train(docs.filter(trains).select(text), work)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "class-lm")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(trains, F.lit(False)).alias("trains"), F.col("text").cast("string").alias("text"))
+    rows = work.table(hashed(rows), "words")
+    model, counts, n_train, n_types = learn(rows.filter("trains").select("words"), work)
+    shared = spark.sparkContext.broadcast(model._replace(rarer=None))
     n_ends = counts.filter("grp < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, m = Words(), shared.value
-        logs_of = np.append(np.log10(m.table.count + 1.0), 0.0)  # the last one, at -1, is a rarer word's
-        for batch in batches:
-            rows = []
-            for blob in as_bytes(batch.column(2)):
-                n, known, logs, model_log, before, rare = 1, int(n_ends > 0), np.log10(n_ends + 1.0), 0.0, m.of[EDGE], []
-                for h, g in words.parts(blob):
-                    at = m.table.find(h)
-                    own = np.where(at >= 0, m.table.item[at], -1) if len(m.table.hash) else at
-                    c = m.of[np.where(own >= 0, own, FREQUENT + g)]
-                    n += len(h)
-                    known += int((at >= 0).sum())
-                    word_logs = logs_of[at].sum()
-                    logs += word_logs
-                    model_log += word_logs + m.step[np.concatenate([[before], c[:-1]]), c].sum() - m.among[c].sum()
-                    before = c[-1]
-                    rare.append(h[at < 0])
-                model_log += m.step[before, m.of[EDGE]]
-                rows.append((n, known, float(logs), float(model_log), np.concatenate(rare).view(np.int64).tolist() if rare else []))
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare"])
-
-    local = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text).mapInArrow(scored, LOCAL)
+        m = shared.value
+        logs_of = np.log10(m.table.count + 1.0)
+        for s in slices(batches):
+            texts, k = s.texts(), len(s.sizes)
+            items = m.table.items(s.hashes, group_of(s.hashes))
+            place, c, rare = s.places(), m.of[items], (items >= FREQUENT) & (items < EDGE)
+            line, gap = np.full(len(c) + k + 1, m.of[EDGE]), np.zeros(len(c) + k + 1, bool)
+            line[place], gap[place] = c, rare
+            steps = np.where(gap[:-1] | gap[1:], 0.0, m.step[line[:-1], line[1:]])
+            logs = np.zeros(len(c))
+            logs[~rare] = logs_of[m.table.find(s.hashes[~rare])]
+            summed = lambda x, texts=texts, k=k: np.bincount(texts, x, k)
+            word_logs = summed(logs)
+            model_logs = word_logs - summed(np.where(rare, 0.0, m.among[c])) + np.bincount(np.repeat(np.arange(k), s.sizes + 1), steps, k)
+            at = place[rare]
+            ends = pa.array(np.concatenate([[0], np.cumsum(summed(rare))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (s.hashes[rare].view(np.int64), *(np.where(gap[x], -1, line[x]).astype(np.int32) for x in (at - 1, at + 1)))]
+            known = (summed(~rare) + int(n_ends > 0)).astype(np.int64)
+            arrays = [*(s.batch.column(i).slice(s.first, k) for i in range(2)), pa.array(s.sizes + 1), pa.array(known), pa.array(word_logs + np.log10(n_ends + 1.0)), pa.array(model_logs), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare", "before", "after"])
+
+    local = rows.select("doc_id", "held_out", "words").mapInArrow(scored, LOCAL)
     local = work.table(local.withColumn("uid", F.monotonically_increasing_id()), "local")
-    times = local.select("uid", F.explode("rare").alias("hash")).groupBy("uid", "hash").agg(F.count(F.lit(1)).alias("times"))
-    found = times.join(counts.select("hash", "n"), "hash").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    more, more_logs = F.coalesce("more", F.lit(0)), F.coalesce("more_logs", F.lit(0.0))
+    #: Each word beyond the table gets its count and class by a join; a word that wasn't trained on, its group's class.
+    held = counts.join(model.rarer, "hash").select("hash", "n", "cls")
+    by_group = F.array(*(F.lit(int(c)) for c in model.of[FREQUENT:EDGE]))
+    classed = lambda of, h: F.coalesce(of, F.get(by_group, h.bitwiseAND(GROUPS - 1).cast("int")))
+    steps = F.broadcast(spark.createDataFrame([(int(b), int(c), float(x)) for (b, c), x in np.ndenumerate(model.step)], "b int, c int, step double"))
+    among = F.broadcast(spark.createDataFrame([(int(c), float(x)) for c, x in enumerate(model.among)], "c int, among double"))
+    each = local.select("uid", "rare", F.posexplode(F.arrays_zip("rare", "before", "after")).alias("pos", "x"))
+    each = each.select("uid", F.col("x.rare").alias("hash"), F.col("x.before").alias("before"), F.col("x.after").alias("after"), F.when(F.col("x.after") < 0, F.get("rare", F.col("pos") + 1)).alias("next"))
+    single = each.join(held, "hash", "left").withColumn("c", classed(F.col("cls"), F.col("hash"))).join(among, "c")
+    for side, b, c in (("before", "before", "c"), ("after", "c", "after")):
+        single = single.join(steps.toDF("b", "e", f"step_{side}"), (F.col(b) == F.col("b")) & (F.col(c) == F.col("e")), "left").drop("b", "e")
+    logs, zero = F.log10(F.coalesce("n", F.lit(0)) + 1), F.lit(0.0)
+    single = single.select("uid", F.col("n").isNotNull().cast("long").alias("known"), logs.alias("logs"), (logs - F.col("among") + F.coalesce("step_before", zero) + F.coalesce("step_after", zero)).alias("model"))
+    double = each.filter("next IS NOT NULL").select("uid", "hash", "next").join(held.select("hash", F.col("cls").alias("cls_left")), "hash", "left")
+    double = double.select("uid", classed(F.col("cls_left"), F.col("hash")).alias("b"), F.col("next").alias("hash")).join(held.select("hash", "cls"), "hash", "left")
+    double = double.withColumn("c", classed(F.col("cls"), F.col("hash"))).join(steps, ["b", "c"]).select("uid", F.lit(0).cast("long").alias("known"), zero.alias("logs"), F.col("step").alias("model"))
+    found = single.unionByName(double).groupBy("uid").agg(F.sum("known").alias("more"), F.sum("logs").alias("more_logs"), F.sum("model").alias("more_model"))
+    more, more_logs, more_model = (F.coalesce(c, z) for c, z in (("more", F.lit(0)), ("more_logs", zero), ("more_model", zero)))
     return local.join(found, "uid", "left").select(
         "doc_id",
         "held_out",
@@ -317,7 +575,7 @@ def score(docs: DataFrame, trains: Column, held_out: Column) -> DataFrame:
         (F.col("known") + more).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("logs") + more_logs - F.col("n_tokens") * F.lit(float(np.log10(n_train + n_types + 1)))).alias("base_score"),
-        (F.col("model") + more_logs).alias("score"),
+        (F.col("model") + more_model).alias("score"),
     )
 
 

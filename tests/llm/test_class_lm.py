@@ -99,3 +99,44 @@ def test_odd_rows(odd, docs):
     assert scored(odd.limit(0), F.lit(False)) == []
     alone = scored(docs((2, "a b")), F.lit(True))
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in alone] == [(3, 0, 0, 0.0)]
+
+
+@pytest.mark.parametrize("table", [lm.TABLE, 700])
+def test_rare_words_choose_their_own_class(docs, spark, monkeypatch, table):
+    """Words beyond the most frequent ones, in the table or joined, go by their neighbours and not by their last bytes."""
+    monkeypatch.setattr(lm, "TABLE", table)
+    rng = np.random.default_rng(3)
+    pick = lambda kind: f"{kind}{int(900 * rng.random() ** 1.5)}"
+    rows = [(i, " ".join(w for _ in range(20) for w in (pick("n"), pick("v")))) for i in range(600)] + [(600, "new1 new2 n1")]
+    df = docs(*rows)
+    from chainloom.llm.common import Workspace
+
+    model, counts, _, _ = lm.train(df.filter("doc_id < 600").select("text"), Workspace(spark, "t"))
+    rarer = {r.hash: r.cls for r in model.rarer.collect()}
+    assert bool(rarer) == (table == 700)
+    kinds = {}
+    count = {r.hash: r.n for r in counts.collect()}
+    of = {}
+    for word in {w for _, t in rows for w in t.split()}:
+        h = np.array([lm.word_hash(word.encode())], np.uint64)
+        key = int(h.view(np.int64)[0])
+        item = model.table.items(h, lm.group_of(h))[0]
+        of[word] = (rarer.get(key, model.of[item]), count.get(key, 0))
+        if key in count and item >= lm.FREQUENT:
+            kinds.setdefault(of[word][0], []).append(word[0])
+    assert sum(map(len, kinds.values())) == len(count) - 1 - lm.FREQUENT
+    assert sum(max(v.count("n"), v.count("v")) for v in kinds.values()) > 0.97 * sum(map(len, kinds.values()))
+    got = {r.doc_id: r.score for r in scored(df, F.col("doc_id") == 600)}
+    for d, t in [*rows[:20], rows[600]]:
+        total, before = 0.0, model.of[lm.EDGE]
+        for c, n in map(of.get, t.split()):
+            total += model.step[before, c] + np.log10(n + 1) - model.among[c]
+            before = c
+        assert got[d] == pytest.approx(total + model.step[before, model.of[lm.EDGE]], rel=1e-9)
+
+
+def test_classes_grow_with_the_vocabulary(spark, docs):
+    from chainloom.llm.common import Workspace
+
+    model, *_ = lm.train(docs((1, " ".join(f"w{i}" for i in range(64_000)))).select("text"), Workspace(spark, "t"))
+    assert len(model.step) == 40 > lm.CLASSES
