@@ -274,3 +274,17 @@ def test_bounded_sample(docs, monkeypatch):
     assert x.dense(np.arange(len(x))).sum(axis=1) == pytest.approx(np.ones(len(x)), abs=1e-4)
 
 
+@pytest.mark.parametrize("languages", [["en"], ["de", "en", "fr"]])
+def test_unlearned_languages_are_rejected(docs, languages):
+    """With enough other texts for the quantile, texts of no learned language are rejected and clean ones kept."""
+    rows = [r for r in labelled(6000) if r[2] in languages]
+    if len(languages) == 1:
+        rows = [(3 * r[0] + i, *r[1:]) for r in rows for i in range(2)]
+    df = docs(*rows, clash=False)
+    model = language_id.fit(df, F.lit(True))
+    assert model.atypical > -np.inf
+    rng = random.Random(5)
+    foreign = ["".join(rng.choice(letters) for _ in range(60)) for letters in ("абвгдежзик лмнопрст", "的一是不了人我在有他", "0123456789abcdef ", "aąbcćeęłńóśźż klmnprstwyz ") for _ in range(25)]
+    accepted = language_id.predicted(model, F.col("text"))["accepted"]
+    assert docs(*enumerate(foreign), clash=False).filter(accepted).count() == 0
+    assert df.filter(accepted).count() >= 0.99 * len(rows)
