@@ -7,7 +7,9 @@ up by hash. Hits of a document that lie on one diagonal of an item (equal place
 are one alignment. An alignment is a leak if it covers LEAST_SHARE of the item's windows (or LEAST_WINDOWS of them in
 long items) and its slots are consistent: where the item repeats a number, unit or name, the document repeats what
 stands in its place, one to one, so that re-parameterised questions count and coincidences of placeholders don't.
-Windows with fewer than PLAIN plain words tell nothing and are left out.
+Windows of templates with fewer than PLAIN plain words tell nothing and are left out. Windows of the words themselves,
+lower-cased, are looked up as well, so copies whose names lost or changed their case are found; as many of them as a leak
+needs are one, whatever the slots.
 
 The benchmark's windows go to the workers as one table if there are at most TABLE of them, which is counted; beyond, the
 documents' windows are joined by shuffle. Both ways lead to the same check.
@@ -92,7 +94,7 @@ class Canon:
         return np.fromiter(map(self.number.__getitem__, low), np.int64, len(low))
 
     def template(self, blob: bytes) -> Template:
-        n = self.numbers(WORD.findall(blob.lower()))
+        n = self.numbers(WORD.findall(blob.lower() if blob.isascii() else blob.decode().lower().encode()))  # never splits a word
         if not len(n):
             return Template(np.empty(0, np.uint64), np.empty(0, np.uint64))
         hashes = self.kind[n]
@@ -113,24 +115,28 @@ class Canon:
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of width words, and whether it has enough plain words."""
+def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each window of width words, of its template and of the words themselves, and whether it has enough plain words."""
     n = len(t.hashes) - width + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    each = mix(t.hashes)
-    out = np.full(n, width, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
+    each = mix(np.stack([t.hashes, t.surface]))
+    out = np.full((2, n), width, np.uint64)
     for i in range(width):
-        out = out * STEP + each[i : i + n]
+        out = out * STEP + each[:, i : i + n]
+    out[1] ^= STEP  # keeps both kinds apart
+    out = mix(out)
     plain = np.concatenate([[0], np.cumsum(t.hashes > 3)])
-    return mix(out), plain[width:] - plain[:-width] >= min(PLAIN, width)
+    return out[0], out[1], plain[width:] - plain[:-width] >= min(PLAIN, width)
 
 
 class Item(NamedTuple):
     item_id: int | None
     template: Template
     width: int
-    windows: int
+    windows: int  # that tell
+    tells: frozenset[int]
+    all: int
 
 
 def consistent(item: Template, doc: Template, a: int, b: int, n: int) -> tuple[bool, int]:
@@ -156,49 +162,60 @@ class Benchmark:
             width = min(WINDOW, len(t.hashes))
             if width < SHORTEST:
                 continue
-            h, tells = windows(t, width)
+            h, words, tells = windows(t, width)
             at = np.flatnonzero(tells)
             if len(at):
-                hashes.append(h[at])
-                owner.append(np.full(len(at), len(self.items)))
-                place.append(at)
-                self.items.append(Item(item_id, t, width, len(at)))
-        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+                hashes += [h[at], words]
+                place += [at, np.arange(len(words))]
+                owner.append(np.full(len(at) + len(words), len(self.items)))
+                self.items.append(Item(item_id, t, width, len(at), frozenset(at.tolist()), len(words)))
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
         order = np.argsort(join(hashes, np.uint64), kind="stable")
-        self.hashes, self.owner, self.place = join(hashes, np.uint64)[order], join(owner, np.int64)[order], join(place, np.int64)[order]
+        self.hashes, self.owner, self.place = join(hashes, np.uint64)[order], join(owner, np.int32)[order], join(place, np.int32)[order]
         self.widths = sorted({i.width for i in self.items})
         #: Most windows of documents are ruled out by their first bits.
         self.first = np.zeros(1 << 20, bool)
         self.first[self.hashes >> np.uint64(44)] = True
 
-    def hits(self, doc: Template) -> Iterator[tuple[int, int, int]]:
-        """(item, place in the item, place in the document) of equal windows."""
+    def hits(self, doc: Template) -> Iterator[tuple[int, int, int, bool]]:
+        """(item, place in the item, place in the document, whether the words are equal) of equal windows."""
         for width in self.widths:
-            h, tells = windows(doc, width)
+            h, words, tells = windows(doc, width)
             if not len(h):
                 continue
-            for at in np.flatnonzero(tells & self.first[h >> np.uint64(44)]):
-                i = int(np.searchsorted(self.hashes, h[at]))
-                while i < len(self.hashes) and self.hashes[i] == h[at]:
-                    yield int(self.owner[i]), int(self.place[i]), int(at)
-                    i += 1
+            for x, equal, worth in ((h, False, tells), (words, True, True)):
+                for at in np.flatnonzero(worth & self.first[x >> np.uint64(44)]):
+                    i = int(np.searchsorted(self.hashes, x[at]))
+                    while i < len(self.hashes) and self.hashes[i] == x[at]:
+                        yield int(self.owner[i]), int(self.place[i]), int(at), equal
+                        i += 1
 
     def leaks(self, doc: Template) -> Iterator[tuple[int | None, int, int, int, int]]:
         """item_id, windows, of_windows, place and slots of each leaked item: its best alignment."""
-        lines: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for item, a, b in self.hits(doc):
-            lines[item, b - a].add(a)
-        best: dict[int, tuple[int, int, int]] = {}
-        for (k, shift), places in lines.items():
-            item = self.items[k]
-            if len(places) < min(LEAST_WINDOWS, LEAST_SHARE * item.windows):
-                continue
+        lines: dict[tuple[int, int], tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
+        for item, a, b, equal in self.hits(doc):
+            lines[item, b - a][equal].add(a)
+        best: dict[int, tuple[int, int, int, int]] = {}
+        for (k, shift), (alike, equal) in lines.items():
+            found = self.aligned(self.items[k], doc, shift, alike, equal)
+            if found:
+                best[k] = max(best.get(k, (0, 0, 0, 0)), found)
+        for k, (n, at, slots, of) in sorted(best.items()):
+            yield self.items[k].item_id, n, of, -at, slots
+
+    @staticmethod
+    def aligned(item: Item, doc: Template, shift: int, alike: set[int], equal: set[int]) -> tuple[int, int, int, int] | None:
+        """windows, -place, slots and of_windows of a leak on one diagonal, from places of windows with equal templates and words."""
+        if len(equal) >= min(LEAST_WINDOWS, LEAST_SHARE * item.all):
+            first, last = min(equal), max(equal) + item.width
+            return len(equal), -(first + shift), int((item.template.hashes[first:last] <= 3).sum()), item.all
+        places = alike | equal & item.tells
+        if len(places) and len(places) >= min(LEAST_WINDOWS, LEAST_SHARE * item.windows):
             first, last = min(places), max(places) + item.width
             ok, slots = consistent(item.template, doc, first, first + shift, last - first)
             if ok:
-                best[k] = max(best.get(k, (0, 0, 0)), (len(places), -(first + shift), slots))
-        for k, (n, at, slots) in sorted(best.items()):
-            yield self.items[k].item_id, n, self.items[k].windows, -at, slots
+                return len(places), -(first + shift), slots, item.windows
+        return None
 
 
 def matched(docs: DataFrame, bench: Benchmark) -> DataFrame:
@@ -226,8 +243,8 @@ def window_rows(texts: DataFrame, id_name: str) -> DataFrame:
                 t = canon.template((text.as_py() or "").encode())
                 width = min(WINDOW, len(t.hashes)) if id_name == "item_id" else WINDOW
                 for w in {width} if id_name == "item_id" else set(range(SHORTEST, WINDOW + 1)):
-                    h, tells = windows(t, w) if w >= SHORTEST else (np.empty(0, np.uint64), np.empty(0, bool))
-                    h = np.unique(h[tells]).view(np.int64)
+                    h, words, tells = windows(t, w) if w >= SHORTEST else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool))
+                    h = np.unique(np.concatenate([h[tells], words])).view(np.int64)
                     if len(h):
                         yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(h), pa.int64()), pa.array(h)], names=[id_name, "hash"])
 

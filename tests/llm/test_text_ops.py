@@ -155,6 +155,13 @@ def test_leak_with_changed_units_and_numbers(docs, spark):
     assert [x[:2] for x in found(spark, docs((1, item.replace("30 km", "18 miles").replace("5 hours", "90 minutes"))), (1, item))] == [(1, 1)]
 
 
+@pytest.mark.parametrize("table", [10_000, 0])
+def test_copies_that_changed_their_case(docs, spark, table):
+    spanish = "La canción de José habla de la emoción que María sintió en la estación cuando llegó el último tren"
+    df = docs((6, ITEM.upper() + " tail"), (7, ITEM.lower()), (8, spanish.upper()), (9, f"Oí: {spanish.title()}"), (10, "La canción habla de otra estación y de otro tren"))
+    assert [x[:2] for x in found(spark, df, (10, ITEM), (11, spanish), table=table)] == [(6, 10), (7, 10), (8, 11), (9, 11)]
+
+
 def test_decontaminated_documents(docs, odd, spark):
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     df = docs((1, f"x {ITEM} y"), (2, "a clean text"), (None, "no id"))
