@@ -7,15 +7,17 @@ up by hash. Hits of a document that lie on one diagonal of an item (equal place
 are one alignment. An alignment is a leak if it covers LEAST_SHARE of the item's windows (or LEAST_WINDOWS of them in
 long items) and its slots are consistent: where the item repeats a number, unit or name, the document repeats what
 stands in its place, one to one, so that re-parameterised questions count and coincidences of placeholders don't.
-Windows of templates with fewer than PLAIN plain words tell nothing and are left out. Windows of the words themselves,
-lower-cased, are looked up as well, so copies whose names lost or changed their case are found; as many of them as a leak
-needs are one, whatever the slots.
+Windows of templates with fewer than PLAIN plain words tell little: they count only if all windows of the item match, it
+has SHORTEST words, at least PLAIN_ITEM of them plain, and its slots are consistent. Windows of the words themselves,
+lower-cased, are looked up as well, so dense questions and copies whose names lost or changed their case are found; as many
+of them as a leak needs are one, whatever the slots.
 
 The benchmark's windows go to the workers as one table if there are at most TABLE of them, which is counted; beyond, the
 documents' windows are joined by shuffle. Both ways lead to the same check.
 
 Defined results: null or empty texts and items match nothing; items with fewer than WINDOW words are one window of
-their own length, if they have SHORTEST words; a null item_id is an item; repeated items and rows each count; empty
+their own length; those of fewer than SHORTEST words count with equal words only, and those of fewer than ANYWHERE words only
+if they are the whole document, as a word or two stand in any text; a null item_id is an item; repeated items and rows each count; empty
 tables give no rows (the stage: all documents); other columns are ignored by ``leaks`` and returned by ``decontaminate``.
 """
 
@@ -37,6 +39,8 @@ from chainloom.llm.common import Workspace, documents, mix
 WINDOW = 8
 PLAIN = 5  # plain words of a window at least
 SHORTEST = 5
+PLAIN_ITEM = 2  # plain words of an item whose windows don't tell
+ANYWHERE = 3  # words of an item that is looked for within documents
 LEAST_SHARE = 0.6
 LEAST_WINDOWS = 6  # of a long item: thirteen words in a row
 TABLE = 2_000_000
@@ -160,14 +164,14 @@ class Benchmark:
         for item_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
             t = canon.template((text or "").encode())
             width = min(WINDOW, len(t.hashes))
-            if width < SHORTEST:
+            if not width:
                 continue
             h, words, tells = windows(t, width)
-            at = np.flatnonzero(tells)
-            if len(at):
-                hashes += [h[at], words]
-                place += [at, np.arange(len(words))]
-                owner.append(np.full(len(at) + len(words), len(self.items)))
+            at = np.flatnonzero(tells & (width >= SHORTEST))
+            if len(words):
+                hashes += [h, words]
+                place += [np.arange(len(words))] * 2
+                owner.append(np.full(2 * len(words), len(self.items)))
                 self.items.append(Item(item_id, t, width, len(at), frozenset(at.tolist()), len(words)))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
         order = np.argsort(join(hashes, np.uint64), kind="stable")
@@ -180,11 +184,11 @@ class Benchmark:
     def hits(self, doc: Template) -> Iterator[tuple[int, int, int, bool]]:
         """(item, place in the item, place in the document, whether the words are equal) of equal windows."""
         for width in self.widths:
-            h, words, tells = windows(doc, width)
-            if not len(h):
+            h, words, _ = windows(doc, width)
+            if not len(h) or width < ANYWHERE and len(h) > 1:
                 continue
-            for x, equal, worth in ((h, False, tells), (words, True, True)):
-                for at in np.flatnonzero(worth & self.first[x >> np.uint64(44)]):
+            for x, equal in ((h, False), (words, True)):
+                for at in np.flatnonzero(self.first[x >> np.uint64(44)]):
                     i = int(np.searchsorted(self.hashes, x[at]))
                     while i < len(self.hashes) and self.hashes[i] == x[at]:
                         yield int(self.owner[i]), int(self.place[i]), int(at), equal
@@ -209,7 +213,14 @@ class Benchmark:
         if len(equal) >= min(LEAST_WINDOWS, LEAST_SHARE * item.all):
             first, last = min(equal), max(equal) + item.width
             return len(equal), -(first + shift), int((item.template.hashes[first:last] <= 3).sum()), item.all
-        places = alike | equal & item.tells
+        if item.width < SHORTEST:
+            return None
+        places = alike | equal
+        if len(places) == item.all and len(item.tells) < item.all:
+            ok, slots = consistent(item.template, doc, 0, shift, len(item.template.hashes))
+            if ok and (item.template.hashes > 3).sum() >= PLAIN_ITEM:
+                return item.all, -shift, slots, item.all
+        places &= item.tells
         if len(places) and len(places) >= min(LEAST_WINDOWS, LEAST_SHARE * item.windows):
             first, last = min(places), max(places) + item.width
             ok, slots = consistent(item.template, doc, first, first + shift, last - first)
@@ -242,9 +253,9 @@ def window_rows(texts: DataFrame, id_name: str) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = canon.template((text.as_py() or "").encode())
                 width = min(WINDOW, len(t.hashes)) if id_name == "item_id" else WINDOW
-                for w in {width} if id_name == "item_id" else set(range(SHORTEST, WINDOW + 1)):
-                    h, words, tells = windows(t, w) if w >= SHORTEST else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool))
-                    h = np.unique(np.concatenate([h[tells], words])).view(np.int64)
+                for w in {width} if id_name == "item_id" else {*range(ANYWHERE, WINDOW + 1), width}:
+                    h, words, _ = windows(t, w) if w else (np.empty(0, np.uint64),) * 3
+                    h = np.unique(np.concatenate([h, words])).view(np.int64)
                     if len(h):
                         yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(h), pa.int64()), pa.array(h)], names=[id_name, "hash"])
 

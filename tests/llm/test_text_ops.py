@@ -162,6 +162,13 @@ def test_copies_that_changed_their_case(docs, spark, table):
     assert [x[:2] for x in found(spark, df, (10, ITEM), (11, spanish), table=table)] == [(6, 10), (7, 10), (8, 11), (9, 11)]
 
 
+@pytest.mark.parametrize("table", [10_000, 0])
+def test_dense_and_short_items(docs, spark, table):
+    items = ["Compute 3 times 4 plus 5 minus 2", "Convert 5 km 300 m to cm", "What is 12 + 7 * 3 - 4 / 2 ?", "Name three primes", "Paris"]
+    df = docs(*((i, f"so it says {t} and goes on") for i, t in enumerate(items)), (10, "They ask: what is 9 + 8 * 5 - 6 / 1 ? It is"), (11, "what is 9 + 8 * 8 - 6 / 1 ?"), (12, "paris."), (13, "1 2 3 4 5 6 7 8"))
+    assert [x[:2] for x in found(spark, df, *enumerate(items), table=table)] == [(0, 0), (1, 1), (2, 2), (3, 3), (10, 2), (12, 4)]
+
+
 def test_decontaminated_documents(docs, odd, spark):
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     df = docs((1, f"x {ITEM} y"), (2, "a clean text"), (None, "no id"))
