@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -244,63 +245,82 @@ def matched(docs: DataFrame, bench: Benchmark) -> DataFrame:
     return docs.mapInArrow(match, FOUND)
 
 
-def window_rows(texts: DataFrame, id_name: str) -> DataFrame:
-    """id, hash of each telling window of WINDOW words; ids of any size of table."""
+def window_rows(texts: DataFrame, key: str) -> DataFrame:
+    """key, hash of each window that an item could have, of templates and of words; texts: key, text, of any size of table."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = canon.template((text.as_py() or "").encode())
-                width = min(WINDOW, len(t.hashes)) if id_name == "item_id" else WINDOW
-                for w in {width} if id_name == "item_id" else {*range(ANYWHERE, WINDOW + 1), width}:
-                    h, words, _ = windows(t, w) if w else (np.empty(0, np.uint64),) * 3
-                    h = np.unique(np.concatenate([h, words])).view(np.int64)
-                    if len(h):
-                        yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(h), pa.int64()), pa.array(h)], names=[id_name, "hash"])
+                width = min(WINDOW, len(t.hashes))
+                for w in {width} if key == "item_key" else {*range(ANYWHERE, WINDOW + 1), width}:
+                    if w:
+                        h = np.unique(np.concatenate(windows(t, w)[:2])).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(h), pa.int64()), pa.array(h)], names=[key, "hash"])
 
-    return texts.mapInArrow(cut, f"{id_name} long, hash long")
+    return texts.mapInArrow(cut, f"{key} long, hash long")
 
 
 def joined(docs: DataFrame, items: DataFrame, work: Workspace) -> DataFrame:
-    """Rows of FOUND by shuffle, for a benchmark too large for the workers' table.
+    """Rows of FOUND and doc_key by shuffle, for a benchmark too large for the workers' table.
 
-    Windows are joined by hash; the texts of each pair of a document and an item that share enough of them are checked.
+    docs: doc_key, doc_id, text. Windows are joined by hash; the texts of each pair of a document and an item that share one
+    are checked. Rows have keys of their own, so that null and repeated ids don't matter.
     """
-    held = work.table(window_rows(items, "item_id"), "item-windows")
-    sizes = held.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    shared = window_rows(docs, "doc_id").join(held, "hash").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "item_id")
-    pairs = shared.filter(F.col("hits") >= F.least(F.lit(LEAST_WINDOWS), F.lit(LEAST_SHARE) * F.col("n"))).select("doc_id", "item_id")
-    both = pairs.join(items.toDF("item_id", "item"), "item_id").join(docs, "doc_id").select("doc_id", "text", "item_id", "item")
+    items = work.table(items.select(F.monotonically_increasing_id().alias("item_key"), "item_id", F.col("text").alias("item")), "items")
+    shared = window_rows(docs.select("doc_key", "text"), "doc_key").join(window_rows(items.select("item_key", "item"), "item_key"), "hash")
+    pairs = shared.select("doc_key", "item_key").distinct()
+    both = pairs.join(items, "item_key").join(docs, "doc_key").select("doc_key", "doc_id", "text", "item_id", "item")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for batch in batches:
             rows = []
-            for doc_id, text, item_id, item in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows += [(doc_id, *x) for x in Benchmark([(item_id, item)]).leaks(canon.template((text or "").encode()))]
+            for key, doc_id, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(doc_id, *x, key) for x in Benchmark([(item_id, item)]).leaks(canon.template((text or "").encode()))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "windows", "of_windows", "at", "slots"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "windows", "of_windows", "at", "slots", "doc_key"])
 
-    return both.mapInArrow(match, FOUND).distinct()
+    return both.mapInArrow(match, f"{FOUND}, doc_key long")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, table: int = TABLE) -> DataFrame:
-    """Rows of FOUND: which document holds which item, how many of its windows, and where."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def known(benchmark: DataFrame, table: int) -> tuple[DataFrame, Benchmark | None]:
+    """The items, and the table of their windows if there are few enough."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     words = items.agg(F.coalesce(F.sum(F.size(F.split(F.col("text"), r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+"))), F.lit(0))).first()[0]
-    if words <= table:  # there are at most as many windows as words
-        return matched(docs, Benchmark([(r["item_id"], r["text"]) for r in items.collect()]))
-    return joined(docs, items, Workspace(docs.sparkSession, "decontam"))
+    few = words <= table  # there are at most as many windows of either kind as words
+    return items, Benchmark([(r["item_id"], r["text"]) for r in items.collect()]) if few else None
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+def leaks(docs: DataFrame, benchmark: DataFrame, table: int = TABLE) -> DataFrame:
+    """Rows of FOUND: which document holds which item, how many of its windows, and where."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    items, bench = known(benchmark, table)
+    if bench is not None:
+        return matched(docs, bench)
+    work = Workspace(docs.sparkSession, "decontam")
+    return joined(work.table(docs.select(F.monotonically_increasing_id().alias("doc_key"), "doc_id", "text"), "docs"), items, work).drop("doc_key")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, table: int = TABLE) -> DataFrame:
+    """Documents that hold no item of the benchmark, row by row, whatever their ids."""
+    items, bench = known(benchmark, table)
+    if bench is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(bench)
+
+        @F.pandas_udf("boolean")
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            canon = Canon()
+            for texts in batches:
+                yield pd.Series([next(shared.value.leaks(canon.template((t or "").encode())), None) is None for t in texts], dtype=bool)
+
+        return docs.filter(clean(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     work = Workspace(docs.sparkSession, "decontaminate")
-    found = work.table(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).filter("leaked IS NOT NULL").distinct(), "leaked")
-    found = F.broadcast(found) if found.count() <= TABLE else found
-    return docs.join(found, docs["doc_id"].cast("long") == found["leaked"], "left_anti")
+    held = work.table(docs.select(F.monotonically_increasing_id().alias("doc_key"), F.struct("*").alias("row")), "docs")
+    texts = held.select("doc_key", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    found = work.table(joined(texts, items, work).select("doc_key").distinct(), "leaked")
+    return held.join(found, "doc_key", "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,19 @@ def test_dense_and_short_items(docs, spark, table):
     assert [x[:2] for x in found(spark, df, *enumerate(items), table=table)] == [(0, 0), (1, 1), (2, 2), (3, 3), (10, 2), (12, 4)]
 
 
+@pytest.mark.parametrize("table", [10_000, 0])
+def test_null_and_repeated_ids(docs, spark, table):
+    """Both ways give a row for each document and item row, and drop leaked documents without an id but not their namesakes."""
+    repeated = "one big red fox ran home " * 4
+    df = docs((1, f"x {ITEM}"), (1, f"x {ITEM}"), (None, ITEM), (2, "clean"), (2, ITEM), (None, "clean too"), (3, repeated))
+    bench = spark.createDataFrame([(None, ITEM), (5, ITEM), (5, "Quick brown foxes jump over"), (6, repeated)], "item_id long, text string")
+    rows = decontam.leaks(df, bench, table=table).collect()
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in rows) == [(0, 0), (0, 5), (1, 0), (1, 0), (1, 5), (1, 5), (2, 0), (2, 5), (3, 6)]
+    out = decontam.decontaminate(df, bench, table=table)
+    assert out.columns == df.columns
+    assert sorted(r.text for r in out.collect()) == ["clean", "clean too"]
+
+
 def test_decontaminated_documents(docs, odd, spark):
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     df = docs((1, f"x {ITEM} y"), (2, "a clean text"), (None, "no id"))
