@@ -7,6 +7,7 @@ up by hash. Hits of a document that lie on one diagonal of an item (equal place
 are one alignment. An alignment is a leak if it covers LEAST_SHARE of the item's windows (or LEAST_WINDOWS of them in
 long items) and its slots are consistent: where the item repeats a number, unit or name, the document repeats what
 stands in its place, one to one, so that re-parameterised questions count and coincidences of placeholders don't.
+Where slots are inconsistent, the alignment is split: its longest consistent run is a leak if it has twice LEAST_WINDOWS.
 Windows of templates with fewer than PLAIN plain words tell little: they count only if all windows of the item match, it
 has SHORTEST words, at least PLAIN_ITEM of them plain, and its slots are consistent. Windows of the words themselves,
 lower-cased, are looked up as well, so dense questions and copies whose names lost or changed their case are found; as many
@@ -156,6 +157,35 @@ def consistent(item: Template, doc: Template, a: int, b: int, n: int) -> tuple[b
     return True, len(slots)
 
 
+def longest_run(item: Template, doc: Template, shift: int, places: list[int], width: int) -> tuple[int, int, int]:
+    """Windows of the longest run at sorted places whose slots map one to one, its first place and the end of its last."""
+    pairs: dict[tuple[int, int], int] = defaultdict(int)
+    there: dict[int, int] = {}
+    back: dict[int, int] = {}
+    slot = item.hashes <= 3
+    x, y = item.surface.tolist(), doc.surface.tolist()
+    best, first, left, right = (0, 0, 0), 0, places[0], places[0]  # the run's words are left to right
+    for k, place in enumerate(places):
+        while right < place + width:
+            if slot[right]:
+                a, b = x[right], y[right + shift]
+                while there.get(a, b) != b or back.get(b, a) != a:
+                    if slot[left]:
+                        gone = x[left], y[left + shift]
+                        pairs[gone] -= 1
+                        if not pairs[gone]:
+                            del there[gone[0]], back[gone[1]]
+                    left += 1
+                there[a], back[b] = b, a
+                pairs[a, b] += 1
+            right += 1
+        while first < k and places[first] < left:
+            first += 1
+        if places[first] >= left:
+            best = max(best, (k - first + 1, places[first], place + width), key=lambda r: r[0])
+    return best
+
+
 class Benchmark:
     """The benchmark's items, and its windows as sorted hashes with their places."""
 
@@ -227,6 +257,10 @@ class Benchmark:
             ok, slots = consistent(item.template, doc, first, first + shift, last - first)
             if ok:
                 return len(places), -(first + shift), slots, item.windows
+            if len(places) >= 2 * LEAST_WINDOWS:
+                n, first, last = longest_run(item.template, doc, shift, sorted(places), item.width)
+                if n >= 2 * LEAST_WINDOWS:
+                    return n, -(first + shift), int((item.template.hashes[first:last] <= 3).sum()), item.windows
         return None
 
 

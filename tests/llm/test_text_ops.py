@@ -169,6 +169,14 @@ def test_dense_and_short_items(docs, spark, table):
     assert [x[:2] for x in found(spark, df, *enumerate(items), table=table)] == [(0, 0), (1, 1), (2, 2), (3, 3), (10, 2), (12, 4)]
 
 
+def test_one_changed_slot_hides_no_copy(docs, spark):
+    """A copy with one of two equal names changed is a leak, word for word or with other slots before the change."""
+    item = "In the old harbour Anna kept 12 boats and " + " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwx") + " until the winter when Anna sold them all"
+    copy = item.replace("when Anna", "when Clara")
+    df = docs((1, copy), (2, copy.replace("Anna kept 12", "Peter kept 30")), (3, "In the old harbour Anna kept 12 boats for Clara"))
+    assert [x[:2] for x in found(spark, df, (10, item))] == [(1, 10), (2, 10)]
+
+
 @pytest.mark.parametrize("table", [10_000, 0])
 def test_null_and_repeated_ids(docs, spark, table):
     """Both ways give a row for each document and item row, and drop leaked documents without an id but not their namesakes."""
