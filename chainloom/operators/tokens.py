@@ -14,7 +14,7 @@ PAD, UNK = "[PAD]", "[UNK]"
 
 #: Special tokens in the order of their ids.
 SPECIALS = [PAD, UNK, "[END]", "[TRA]", "[ETRA]", "[TRB]", "[ETRB]", "[PEP]", "[EPEP]", "[MHO]", "[EMHO]", "[MHT]", "[EMHT]"]
-MOST_WORDS = 1_000_000  # different words that merges are learned from, the most frequent ones
+MOST_WORDS = 1_000_000  # different words that merges are learned from in the driver; beyond, in Spark
 
 
 def word_counts(df: DataFrame, text: Column) -> DataFrame:
@@ -86,10 +86,14 @@ def batch_padded(df: DataFrame, batch: str, ids: str = "input_ids", pad: int = 0
 def bpe_merges(counts: DataFrame, merges: int, most_words: int = MOST_WORDS) -> list[tuple[str, str]]:
     """The most frequent neighbours, one after the other, learned from a table of words and counts.
 
-    Counting the corpus is Spark's; merging works on different words only, at most most_words of them, with pair counts
-    kept up to date for the words that hold a pair. Ties go to the least pair.
+    Counting the corpus is Spark's; merging works on different words only, with pair counts kept up to date for the words
+    that hold a pair. If there are more than most_words, Spark sums the pairs of all words anew for each merge. Ties go to
+    the least pair.
     """
-    rows = counts.filter(~F.col("word").isin(SPECIALS)).orderBy(F.desc("n"), "word").limit(most_words).collect()
+    counted = counts.filter(~F.col("word").isin(SPECIALS)).select("word", "n")
+    rows = counted.limit(most_words + 1).collect()
+    if len(rows) > most_words:
+        return bpe_merges_spread(counted, merges)
     words = [list(r["word"]) for r in rows]
     n = [r["n"] for r in rows]
     pairs: Counter = Counter()
@@ -124,6 +128,33 @@ def bpe_merges(counts: DataFrame, merges: int, most_words: int = MOST_WORDS) ->
     return out
 
 
+def bpe_merges_spread(counts: DataFrame, merges: int) -> list[tuple[str, str]]:
+    """What ``bpe_merges`` gives, with the pairs of all words summed by Spark for each merge."""
+    held = counts.persist()
+    out: list[tuple[str, str]] = []
+    try:
+        while len(out) < merges:
+
+            def pairs(batches: Iterator[pd.DataFrame], done: tuple[tuple[str, str], ...] = tuple(out)) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    found: Counter = Counter()
+                    for word, n in zip(batch["word"], batch["n"], strict=True):
+                        symbols = list(word)
+                        for p in done:
+                            symbols = merged(symbols, p)
+                        for p in zip(symbols, symbols[1:], strict=False):
+                            found[p] += n
+                    yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["a", "b", "n"]).astype({"n": "int64"})
+
+            top = held.mapInPandas(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(1).collect()
+            if not top:
+                break
+            out.append((top[0]["a"], top[0]["b"]))
+    finally:
+        held.unpersist()
+    return out
+
+
 def merged(symbols: list[str], pair: tuple[str, str]) -> list[str]:
     out, i = [], 0
     while i < len(symbols):

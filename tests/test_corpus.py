@@ -192,3 +192,13 @@ def test_pairing_sizes(spark, chains):
     a, b = chains.count("A"), chains.count("B")
     assert len(out) == (max(a, 1) * max(b, 1) if a + b else 0)
     assert sorted(r.tid for r in out) == sorted(f"c_{i + 1}" for i in range(len(out)))
+
+
+def test_merges_of_all_words_beyond_the_bound(spark):
+    """Rare words' pairs count: "xy" is in every rare word and in no frequent one."""
+    rows = [("ab", 9), ("cd", 8), *((f"xy{c}", 2) for c in "klmnopqrstuvw"), ("aaaa", 3), ("éé", 2)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    whole = tokens.bpe_merges(counts, 8)
+    assert whole[0] == ("x", "y")
+    assert tokens.bpe_merges(counts, 8, most_words=3) == whole
+    assert tokens.bpe_merges(counts, 99, most_words=3) == tokens.bpe_merges(counts, 99)
