@@ -222,7 +222,7 @@ def search_blocks(rows: DataFrame, limit: int) -> DataFrame:
                 for i in range(half):
                     x = group[f"g{i}"][f][:, None] ^ group[f"g{i}"][t][None, :]
                     x |= group[f"g{half + i}"][f][:, None] ^ group[f"g{half + i}"][t][None, :]
-                    apart += np.bitwise_count(x)
+                    apart += np.bitwise_count(x.view(np.uint64))  # of signed numbers it counts the absolute value's
                 n_f, n_t = group["n"][f][:, None], group["n"][t][None, :]
                 ok = (apart <= most) & (group["component"][f][:, None] != group["component"][t][None, :])
                 ok &= np.minimum(n_f, n_t) * 100 >= np.maximum(n_f, n_t) * limit

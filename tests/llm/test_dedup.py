@@ -89,7 +89,7 @@ def test_estimates_are_corrected_for_collisions():
         a, b = (np.concatenate([common, rng.integers(0, 1 << 63, 1000 - len(common)).astype(np.uint64)]) for _ in range(2))
         x, y = (m.packed(m.minima(s)) for s in (a, b))
         half = m.WORDS // m.BITS
-        apart = sum(int(np.bitwise_count((x[i] ^ y[i]) | (x[half + i] ^ y[half + i]))) for i in range(half))
+        apart = sum(int(np.bitwise_count(((x[i] ^ y[i]) | (x[half + i] ^ y[half + i])).view(np.uint64))) for i in range(half))
         errors.append(1 - apart / m.PERMUTATIONS / (1 - 2.0**-m.BITS) - len(common) / (2000 - len(common)))
     assert max(map(abs, errors)) < 0.21
 
