@@ -10,19 +10,25 @@
 
 Defined results: a null text is empty and has its end id alone; null doc_id and null source are values of their own;
 repeated rows are documents of their own; an empty table gives no rows; other columns are ignored. Encoding is by
-white-space chunks, which the library's pre-tokeniser never joins; a worker keeps the ids of recurring chunks.
+chunks, cut at ASCII white space and where a letter meets punctuation, which the library's normaliser and pre-tokeniser
+never join; that the vocabulary has these properties is tested, and one that hasn't them gets whole texts. Equal chunks
+of some megabytes of text are looked up once, and a worker keeps the ids of recurring chunks in bounded bytes. Very long
+texts are taken piece by piece; a text without white space is one chunk, whatever its length.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,57 +40,62 @@ WINDOW = 2048
 END_ID = 1
 MIN_PIECE = 256  # tokens that a source is served at least, its rest apart
 BLOCK_TOKENS = 1 << 19
-TAIL = ".,;:!?*#%&$|\")]}-"  # punctuation that is taken off a chunk's end
-CHUNK = re.compile(r"[^ \t\n\r]+")
-KEPT = 1_000_000  # chunks in a generation of those whose ids a worker keeps
+#: A letter, and punctuation at which the pre-tokeniser ends a run of letters whatever follows.
+WORD_ENDS = r'([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,;:!?*#%&$")\]}-])'
+LOWER = bytes(ord(c) if len(c := chr(x).lower()) == 1 and ord(c) < 256 else x for x in range(256))
+KEPT_BYTES = 48 << 20  # of chunks and ids in a generation of those that a worker keeps
+KEPT = 400_000  # chunks in a generation
 BATCH = 8192  # unseen chunks that go to the library at once
-PIECE = 1 << 19  # characters whose chunks are looked up together
+PIECE = 4 << 20  # bytes of text whose chunks are looked up together
+
+#: The normaliser and pre-tokeniser for which chunks may be encoded apart.
+NORMALISERS = [("NFC", None, None), ("Replace", "\\s+", " "), ("Lowercase", None, None)]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 BLOCKS = "block long, docs array<struct<doc_id:long,source:string,n:long>>, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def core_and_tail(chunk: str) -> tuple[str, str]:
-    """A chunk as two whose ids, one after the other, are the chunk's: many chunks differ in case or punctuation only.
+def splits_at_blanks(described: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and cuts as the encoding by chunks relies on."""
+    normal, cut, model = described.get("normalizer") or {}, described.get("pre_tokenizer") or {}, described["model"]
+    steps = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in normal.get("normalizers", [])]
+    first, *rest = [*cut.get("pretokenizers", []), {}]
+    split = (first.get("type"), first.get("pattern", {}).get("Regex"), first.get("behavior"), first.get("invert")) == ("Split", SPLIT, "Removed", True)
+    mapped = [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest if r] == [("ByteLevel", False, False)]
+    plain = model["type"] == "BPE" and not model.get("dropout") and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in described["added_tokens"])
+    return steps == NORMALISERS and split and mapped and plain and described.get("post_processor") is None
 
-    The pre-tokeniser ends a run of letters where punctuation begins, and the normaliser lower-cases; beyond Latin-1,
-    where cases aren't one to one, chunks stay as they are, and so do those that might hold a special token.
-    """
-    if chunk.isascii() and chunk.isalpha():
-        return chunk.lower(), ""
-    if "<|" in chunk:
-        return chunk, ""
-    core = chunk.rstrip(TAIL)
-    if not core or not core[-1].isalpha() or core[-1] >= "\u0100":
-        core = chunk
-    tail = chunk[len(core) :]
-    return (core.lower() if core.isascii() or max(core) < "\u0100" else core), tail
 
+def one_case(text: str) -> str:
+    """Texts that differ in case only are the same to the normaliser: lower-cased if case is one to one there (Latin-1).
 
-def chunks_of(text: str) -> list[str]:
-    """White-space chunks; the four separators that Python alone takes for white space stay inside of chunks."""
-    if any(x in text for x in "\x1c\x1d\x1e\x1f"):
-        return CHUNK.findall(text)
-    return text.split()
+    Special tokens are found before that, so texts that might hold one stay as they are.
+    """
+    if "<|" in text:
+        return text
+    try:
+        return text.encode("latin-1").translate(LOWER).decode("latin-1")
+    except UnicodeEncodeError:
+        return text
 
 
-class Kept(dict):
-    """Ids by chunk; what is looked up in vain is noted, so that hits cost no more than in a plain dict."""
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(own)))}
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.unseen: list[str] = []
 
-    def __missing__(self, chunk: str) -> None:
-        self.unseen.append(chunk)
+LETTERS = byte_letters()
 
 
 class ChunkIds:
-    """Ids of texts as little-endian 32-bit numbers, by way of their white-space chunks.
+    """Ids of texts, by way of their white-space chunks.
 
-    Ids of chunks are kept in two generations: when the newer one is full it becomes the older one, so that frequent
-    chunks stay and memory is bounded. Unseen chunks go to the library joined by a special token's string, which it
-    cuts out before anything else, and are told apart by that token's id; chunks that hold the string go alone.
+    Ids of chunks are kept in two generations of bounded bytes: when the newer one is full it becomes the older one, so
+    that frequent chunks stay. Unseen words go to the library's model; other unseen chunks go to the library joined by a
+    special token's string, which it cuts out before anything else, and are told apart by that token's id; chunks that
+    hold the string go alone. With a vocabulary that isn't known to cut at white space, whole texts go to the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -94,17 +105,24 @@ class ChunkIds:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.chunked = splits_at_blanks(json.loads(self.tok.to_str()))
         special = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special]
         self.cut, self.between = special[-1] if special else (-1, "")
         self.model = self.tok.model
-        self.new, self.old = Kept(), Kept()
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def put(self, chunk: str, ids: bytes) -> None:
+        self.new[chunk] = ids
+        self.size += len(chunk) + len(ids)
 
     def learn(self, chunks: list[str]) -> None:
         """Keep the ids of chunks that neither generation has."""
         together, alone = [], []
         for x in chunks:
-            if x.isascii() and x.isalpha() and x.islower():  # one piece for the pre-tokeniser, and normal already
-                self.new[x] = np.array([t.id for t in self.model.tokenize(x)], "<u4").tobytes()
+            if x.isalpha() and x.islower() and (x.isascii() or max(x) < "\u0100"):  # one piece for the pre-tokeniser, and normal already
+                self.put(x, array("I", [t.id for t in self.model.tokenize(x if x.isascii() else "".join(map(LETTERS.__getitem__, x.encode())))]).tobytes())
             else:
                 (together if self.between and self.between not in x else alone).append(x)
         for at in range(0, len(together), BATCH):
@@ -113,97 +131,107 @@ class ChunkIds:
             ends = np.append(np.flatnonzero(ids == self.cut), len(ids)).tolist()
             raw, begin = ids.tobytes(), 0
             for x, end in zip(part, ends, strict=True):
-                self.new[x] = raw[4 * begin : 4 * end]
+                self.put(x, raw[4 * begin : 4 * end])
                 begin = end + 1
         for x in alone:
-            self.new[x] = np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def keep(self, unseen: set[str]) -> None:
-        """Afterwards the newer generation has the ids of all these chunks."""
-        halves = {}
-        for x in unseen:
-            if (got := self.old.get(x)) is not None:
-                self.new[x] = got
-            else:
-                halves[x] = core_and_tail(x)
-        needed = {y for h in halves.values() for y in h if y and y not in self.new}
-        for y in list(needed):
-            if (got := self.old.get(y)) is not None:
-                self.new[y] = got
-                needed.discard(y)
-        self.learn(list(needed))
-        for x, (core, tail) in halves.items():
-            self.new[x] = self.new[core] + self.new[tail] if tail else self.new[core]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of some texts, whose unseen chunks are looked up together."""
-        if len(self.new) > KEPT:
-            self.old, self.new = self.new, Kept()
-        look, out, late = self.new.__getitem__, [], []
-        for i, text in enumerate(texts):
-            chunks = chunks_of(text)
-            known = len(self.new.unseen)
-            found = list(map(look, chunks))
-            if len(self.new.unseen) > known:
-                late.append((i, chunks))
-                found = []
-            out.append(b"".join(found))
-        unseen, self.new.unseen = self.new.unseen, []
-        self.keep(set(unseen))
-        for i, chunks in late:
-            out[i] = b"".join(map(look, chunks))
-        return out
-
-    def whole(self, text: str) -> bytes:
-        """Ids of a text of any length, piece by piece; pieces end at white space."""
-        out, at = [], 0
-        while at < len(text):
-            end = at + PIECE
-            while end < len(text) and text[end] not in " \t\n\r":
-                end += 1
-            out += self.ids([text[at:end]])
-            at = end
-        return b"".join(out)
-
-    def all(self, texts: Iterator[str]) -> Iterator[bytes]:
-        """Ids of each text, in order; texts are taken together up to PIECE characters."""
+            self.put(x, self.direct(x))
+
+    def direct(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks."""
+        if self.size > KEPT_BYTES or len(self.new) > KEPT:
+            self.old, self.new, self.size = self.new, {}, 0
+        unseen = []
+        for x in chunks:
+            if x not in self.new:
+                if (got := self.old.get(x)) is not None:
+                    self.put(x, got)
+                else:
+                    unseen.append(x)
+        self.learn(unseen)
+        return list(map(self.new.__getitem__, chunks))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts, one after the other, and each text's number of them. Equal chunks are looked up once."""
+        if not self.chunked:
+            each = [self.direct(x) for x in texts]
+            return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each], np.int64)
+        spaced = pc.replace_substring_regex(pa.array(map(one_case, texts), pa.large_string()), WORD_ENDS, r"\1 \2")
+        chunks = pc.ascii_split_whitespace(spaced)
+        ends = chunks.offsets.to_numpy().astype(np.int64)
+        coded = chunks.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        code = coded.indices.to_numpy()
+        found = self.of_chunks(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        n = size[code]
+        below = np.concatenate([[0], np.cumsum(n)])
+        flat = np.frombuffer(b"".join(found), "<u4")
+        return flat[np.arange(below[-1]) + np.repeat(begin[code] - below[:-1], n)], np.diff(below[ends - ends[0]])
+
+    def all(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; texts are taken together up to PIECE characters, longer ones cut at white space."""
         held: list[str] = []
         size = 0
+
+        def out() -> Iterator[np.ndarray]:
+            ids, n = self.ids(held)
+            yield from np.split(ids, np.cumsum(n)[:-1])
+
         for t in texts:
             if size + len(t) > PIECE and held:
-                yield from self.ids(held)
+                yield from out()
                 held, size = [], 0
-            if len(t) > PIECE:
-                yield self.whole(t)
+            if len(t) > PIECE and self.chunked:
+                yield np.concatenate([self.ids([part])[0] for part in pieces(t)])
             else:
                 held.append(t)
                 size += len(t)
-        yield from self.ids(held)
+        if held:
+            yield from out()
+
+
+def pieces(text: str) -> Iterator[str]:
+    """Pieces of a text of any length, which end where white space begins."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end] not in " \t\n\r":
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> ChunkIds:
+    """The encoder of a worker, which its tasks share."""
+    return ChunkIds(path)
 
 
 def encode_blocks(docs: DataFrame, path: str) -> DataFrame:
     """Rows of BLOCKS; ids are 16-bit where the vocabulary allows, each document's with END_ID at the end."""
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = ChunkIds(path), TaskContext.get().partitionId() << 32
+        encoder, first = encoder_of(path), TaskContext.get().partitionId() << 32
         schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("source", pa.string()), ("n", pa.int64())]))), ("ids", pa.binary())])
         held: list[dict] = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         tokens = made = 0
 
         def block() -> pa.RecordBatch:
-            joined = np.frombuffer(b"".join(ids), "<u4")
+            joined = np.concatenate(ids)
             stored = joined.astype("<u2") if encoder.tok.get_vocab_size() <= 1 << 16 else joined
             return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([held], schema.field(1).type), pa.array([stored.tobytes()], pa.binary())], schema=schema)
 
         for batch in batches:
             texts = (x.as_py() or "" for x in batch.column(2))
             for doc_id, source, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.all(texts), strict=True):
-                own += end
-                held.append({"doc_id": doc_id, "source": source, "n": len(own) // 4})
-                ids.append(own)
-                tokens += len(own) // 4
+                held.append({"doc_id": doc_id, "source": source, "n": len(own) + 1})
+                ids += [own, end]
+                tokens += len(own) + 1
                 if tokens >= BLOCK_TOKENS:
                     yield block()
                     held, ids, tokens, made = [], [], 0, made + 1
@@ -211,7 +239,8 @@ def encode_blocks(docs: DataFrame, path: str) -> DataFrame:
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.repartition(F.xxhash64("doc_id", "text")).mapInArrow(encoded, BLOCKS)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(1024))  # deals equal rows out as well
+    return rows.repartition(F.xxhash64("doc_id", "text", salt)).mapInArrow(encoded, BLOCKS)
 
 
 def running(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -53,8 +53,18 @@ def test_chunk_ids(monkeypatch):
     rng = random.Random(4)
     letters = "aAzZéÉßñ.,;:!?*#%&$|\")]}-'<>0 9\t\n\x0b\x1cΣσİıÇµ日̈́"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)] + ["<|endoftext|> x<|endoftext|>.", "don't. we'll, 's.", "x " * 500]
-    got = list(chunks.all(iter(texts)))
-    assert got == [np.array(chunks.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    texts += ["<|ENDOFTEXT|> a.<|endoftext|>b", "H\u0331. I\u0307, \u212a; \xb5. \xaa) \xd7. \xf7. \xbb.", "ab" * 4000 + "." + "\xe9" * 300]
+    got = [x.tolist() for x in chunks.all(iter(texts))]
+    assert got == [chunks.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in chunks.all(iter(texts[-4:]))] == got[-4:]
+
+
+def test_chunk_ids_of_another_vocabulary():
+    """A vocabulary that keeps cases and white space isn't encoded by chunks."""
+    encoder = packing.ChunkIds(vocabulary("byte_bpe_50k.json"))
+    texts = ["The  the.\n", "", "Caf\xe9, x"]
+    assert not encoder.chunked
+    assert [x.tolist() for x in encoder.all(iter(texts))] == [encoder.tok.encode(t).ids for t in texts]
 
 
 def pieces(df, targets=None):
@@ -117,7 +127,9 @@ def test_packing_over_blocks(docs, monkeypatch):
 
 
 def test_packing_odd_rows(odd, docs):
-    rows = pieces(odd.filter("doc_id IS NULL OR doc_id <> 8"))
+    rows = pieces(odd)
+    whole = packing.ChunkIds(vocabulary("word_bpe_49k.json")).tok.encode("x" * 300_000).ids
+    assert sum(r.length for r in rows if r.doc_id == 8) == len(whole) + 1
     assert sum(r.length for r in rows if r.doc_id in (1, 2, 3)) == 3
     assert {r.doc_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert sum(r.length for r in rows if r.doc_id == 5) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 5)
