@@ -297,10 +297,34 @@ def test_held_out_accuracy(docs):
 
 
 def test_calibrated_scores(docs):
-    rows = labelled(400)
+    """Few texts calibrate: the limits lie below what all of them have, and above none of the others' by much."""
+    rows = labelled(700)
     model = language_id.fit(docs(*rows), F.lit(True))
     assert 0.25 <= model.temperature <= 8
-    assert model.rejecting <= language_id.REJECTING_CHANCE / 3
+    out = docs(*rows).select(language_id.predicted(model, F.col("text")).alias("p")).select("p.*")
+    assert out.filter("accepted").count() >= 698
+    junk = docs(*((i, "zqxj vvkw qqpz jjxq wzzk", "en", "s") for i in range(5)))
+    assert junk.filter(language_id.predicted(model, F.col("text"))["accepted"]).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [1, 2, 3, None])
+def test_rows_that_share_an_id(docs, doc_id):
+    """Places are by id and text: equal ids don't empty or fill the sample; equal rows are one."""
+    rows = [(doc_id, *r[1:]) for r in labelled(4000)]
+    known = language_id.labelled(docs(*rows), F.lit(True))
+    x, y, languages = language_id.sample(known)
+    assert languages == ["de", "en", "fr"]
+    assert 3 * 500 < len(x) <= 3 * language_id.PER_LANGUAGE
+    assert language_id.chosen(known, False).count() < 3 * 1.5 * language_id.PER_LANGUAGE
+    same = docs(*[(doc_id, "the same text and thing", "en", "s")] * 3000, *labelled(60))
+    assert len(language_id.sample(language_id.labelled(same, F.lit(True)))[0]) <= 61
+
+
+def test_every_language_is_learned(docs):
+    """More languages than the sample has texts: each keeps one at least."""
+    rows = [(10 * i + j, f"{w} {w}{j} {w}x", w, "s") for i in range(300) for w in ["".join(chr(97 + (i * k + k * k) % 26) for k in range(3, 9)) + chr(97 + i % 26) + chr(97 + i // 26)] for j in range(3)]
+    model = language_id.fit(docs(*rows), F.lit(True))
+    assert len(model.languages) == 300
 
 
 def test_language_of_odd_rows(docs, odd):
@@ -309,6 +333,8 @@ def test_language_of_odd_rows(docs, odd):
     out = odd.select("doc_id", language_id.predicted(model, F.col("text")).alias("p")).select("doc_id", "p.*").collect()
     assert {r.doc_id for r in out if r.lang_pred == "und"} == {1, 2, 3}
     assert all(not r.accepted and r.score == 0 for r in out if r.lang_pred == "und")
+    assert odd.limit(0).select(language_id.predicted(model, F.col("text"))).count() == 0
+    assert language_id.fit(odd.limit(0), F.lit(True)) is None
     nothing = language_id.fit(docs((1, "x", None, "s")), F.lit(True))
     assert nothing is None
     assert odd.select(language_id.predicted(None, F.col("text"))["lang_pred"]).distinct().first()[0] == "und"
@@ -316,7 +342,7 @@ def test_language_of_odd_rows(docs, odd):
 
 def test_bounded_sample(docs, monkeypatch):
     monkeypatch.setattr(language_id, "PER_LANGUAGE", 20)
-    x, y, _ = language_id.sample(docs(*labelled()), F.lit(True))
+    x, y, _ = language_id.sample(language_id.labelled(docs(*labelled()), F.lit(True)))
     assert len(x) == len(y) <= 60
     assert x.dense(np.arange(len(x))).sum(axis=1) == pytest.approx(np.ones(len(x)), abs=1e-4)
 
