@@ -8,22 +8,25 @@
    hub of the largest estimated similarity, a hub being the member whose buckets are the largest. Similarities are
    estimated by bit counts of the signatures' differences, corrected for chance collisions; what lies MARGIN below the
    limit is no candidate, the rest is confirmed on full sets. Confirmed links make components.
-4. Hubs whose buckets still hold several components have their members searched in blocks: all pairs of members of
-   different components are estimated inside a task, those that may be linked are confirmed there on full sets, and only
-   links that join components leave it. After that no pair of a bucket is left unjudged, unless its two documents are
-   connected anyway.
+4. Hubs whose buckets still hold several components have their members searched in blocks, those outside a hub's largest
+   component against each other and against the rest. Blocks of signatures come first: what has no possible partner in
+   another component is done. What remains is searched again with its full sets: pairs of different components that may
+   be linked are confirmed inside the task, and only links that join components leave it. After that no pair of a bucket
+   is left unjudged, unless its two documents are connected anyway.
 
 Near-duplicates share no bucket with probability (1 - 0.8 ** ROWS) ** BANDS at the limit, 5e-8 with 4 rows and 32 bands.
 Hubs of many members are replicated and their members dealt out, so no hub's links meet in one task.
 
 Defined results: a document without words or text has an empty set and is linked with nothing; rows with a null doc_id
 are left out of the links and keep a null component; rows that repeat a doc_id are one node, with a row each; an empty
-table gives no rows; other columns are ignored by ``near_duplicates`` and returned by ``keep_one``.
+table gives no rows; ties go to the smallest id; very long texts are cut into words piece by piece, their sets are whole;
+other columns are ignored by ``near_duplicates`` and returned by ``keep_one``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,8 @@ LIMIT = 80  # per cent of the union that linked documents have in common
 BANDS, ROWS, BITS = 32, 4, 2
 PERMUTATIONS = BANDS * ROWS
 MARGIN = 0.21  # five standard deviations of the estimate at the limit
-BLOCK = 256  # members of a bucket that are compared with as many at a time
+BLOCK = 256  # members of a hub that are compared on full sets with as many at a time
+SKETCHED = 2048  # those that are compared by signatures
 MEMBERS = 64  # of a hub that a replica of it is confirmed with
 BROADCAST_IDS = 2_000_000
 
@@ -116,11 +120,12 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """node, component (the smallest node it is connected with) of all nodes of edges a, b.
 
     Large and small stars by turns: every node's larger neighbours, then its smaller ones, are tied to the smallest it
-    knows. Each turn's edges are written, so lineage stays short; it ends when a turn changes nothing.
+    knows. Each turn's edges are written, so lineage stays short; it ends when a turn changes nothing, which the least nodes
+    that go down with every turn bring about.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     before = None
-    for turn in range(64):
+    for turn in count():
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
         large = both.join(least, both.u == least.node).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -190,63 +195,36 @@ def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((one[at] == joined).astype(np.int64), first)
 
 
-def search_blocks(rows: DataFrame, limit: int) -> DataFrame:
-    """Links a, b between different components, of a hub's members in the same pair of blocks.
+DEALT = ["hub", "lo", "hi", "side", "node", "component", "n", *SIGNATURE]
+
 
-    rows: hub, lo, hi, side, node, component, n, shingles and the signature. All pairs of different components are
-    estimated by their signatures; those that may be linked are confirmed on their full sets at once. Of the links found
-    in a pair of blocks only those leave it that join components that earlier ones haven't joined, so a pair of blocks
-    gives fewer links than it has members.
+def deal(members: DataFrame, sketch_of: DataFrame, block: int) -> DataFrame:
+    """Rows of DEALT: members (hub, node, component) in pairs of blocks, so that pairs of different components meet.
+
+    Members of a hub's largest component meet those of the others only; hubs of one component have no rows.
     """
-    most = limit_unequal(limit)
+    sizes = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("hub").agg(F.sum("size").alias("total"), F.max(F.struct("size", (-F.col("component")).alias("minus"))).alias("top"))
+    sizes = sizes.filter(F.col("total") > F.col("top.size")).select("hub", (-F.col("top.minus")).alias("main"), F.ceil((F.col("total") - F.col("top.size")) / block).cast("int").alias("others"), F.ceil(F.col("top.size") / block).cast("int").alias("mains"))
+    rows, place = members.join(sizes, "hub"), F.xxhash64("node")
+    inside = F.col("component") == F.col("main")
+    rows = rows.withColumn("side", F.when(inside, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+    rows = rows.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
+    return rows.join(sketch_of, "node").select(*DEALT)
 
-    def judge(group: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        own = group["lo"][0] == group["hi"][0]
-        first = np.arange(len(group["node"])) if own else np.flatnonzero(group["side"] == group["lo"][0])
-        second = first if own else np.flatnonzero(group["side"] == group["hi"][0])
-        sets = {i: np.frombuffer(group["shingles"][i], np.uint64) for i in range(len(group["node"]))}
-        parent: dict[int, int] = {}
 
-        def root(c: int) -> int:
-            while parent.setdefault(c, c) != c:
-                c = parent[c]
-            return c
+Group = dict[str, np.ndarray]
 
-        out: list[tuple[int, int]] = []
-        half = WORDS // BITS
-        for at in range(0, len(first), BLOCK):  # a block that drew more members than BLOCK is taken in parts
-            f = first[at : at + BLOCK]
-            for to in range(at if own else 0, len(second), BLOCK):
-                t = second[to : to + BLOCK]
-                apart = np.zeros((len(f), len(t)), np.int32)
-                for i in range(half):
-                    x = group[f"g{i}"][f][:, None] ^ group[f"g{i}"][t][None, :]
-                    x |= group[f"g{half + i}"][f][:, None] ^ group[f"g{half + i}"][t][None, :]
-                    apart += np.bitwise_count(x.view(np.uint64))  # of signed numbers it counts the absolute value's
-                n_f, n_t = group["n"][f][:, None], group["n"][t][None, :]
-                ok = (apart <= most) & (group["component"][f][:, None] != group["component"][t][None, :])
-                ok &= np.minimum(n_f, n_t) * 100 >= np.maximum(n_f, n_t) * limit
-                if own and at == to:
-                    ok = np.triu(ok)
-                for i in np.flatnonzero(ok.any(axis=1)):
-                    here = int(f[i])
-                    there = [int(j) for j in t[np.flatnonzero(ok[i])] if root(int(group["component"][j])) != root(int(group["component"][here]))]
-                    if not there:
-                        continue
-                    both = overlaps(sets[here], [sets[j] for j in there])
-                    for j, common in zip(there, both.tolist(), strict=True):
-                        x, y = root(int(group["component"][here])), root(int(group["component"][j]))
-                        if x != y and 100 * common >= limit * (len(sets[here]) + len(sets[j]) - common):
-                            parent[max(x, y)] = min(x, y)
-                            out.append((int(group["node"][here]), int(group["node"][j])))
-        return out
 
-    names = ["hub", "lo", "hi", "side", "node", "component", "n", *SIGNATURE, "shingles"]
+def by_blocks(rows: DataFrame, judge: Callable[[Group], list[tuple[int, int]]], names: tuple[str, str]) -> DataFrame:
+    """What judge says of the rows of each pair of blocks, as two columns of numbers."""
+    columns = rows.columns
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        held: Group | None = None
 
-        def groups(x: dict[str, np.ndarray], last: bool) -> Iterator[dict[str, np.ndarray]]:
+        def groups(x: Group, last: bool) -> Iterator[Group]:
             nonlocal held
             new = np.flatnonzero((x["hub"][1:] != x["hub"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])) + 1
             cuts = [0, *new.tolist(), len(x["hub"])]
@@ -254,23 +232,90 @@ def search_blocks(rows: DataFrame, limit: int) -> DataFrame:
                 yield {k: v[at:to] for k, v in x.items()}
             held = None if last else {k: v[cuts[-2] :] for k, v in x.items()}
 
-        def send(x: dict[str, np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        def send(x: Group, last: bool) -> Iterator[pa.RecordBatch]:
             for group in groups(x, last):
-                if links := judge(group):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+                if said := judge(group):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*said, strict=True)], names=list(names))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = {k: part.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
+                x = {k: part.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(columns)}
                 if held is not None:
-                    x = {k: np.concatenate([held[k], x[k]]) for k in names}
+                    x = {k: np.concatenate([held[k], x[k]]) for k in columns}
                 yield from send(x, False)
         if held is not None:
             yield from send(held, True)
 
-    dealt = rows.select(*names).repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi")
-    return dealt.mapInArrow(searched, "a long, b long").distinct()
+    dealt = rows.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi")
+    return dealt.mapInArrow(searched, f"{names[0]} long, {names[1]} long").distinct()
+
+
+def possible(group: Group, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a pair of blocks: rows, other rows, and which of their pairs are of different components and may be linked."""
+    own, half = group["lo"][0] == group["hi"][0], WORDS // BITS
+    first = np.arange(len(group["node"])) if own else np.flatnonzero(group["side"] == group["lo"][0])
+    second = first if own else np.flatnonzero(group["side"] == group["hi"][0])
+    for at in range(0, len(first), BLOCK):
+        f = first[at : at + BLOCK]
+        for to in range(at if own else 0, len(second), BLOCK):
+            t = second[to : to + BLOCK]
+            apart = np.zeros((len(f), len(t)), np.int32)
+            for i in range(half):
+                x = group[f"g{i}"][f][:, None] ^ group[f"g{i}"][t][None, :]
+                x |= group[f"g{half + i}"][f][:, None] ^ group[f"g{half + i}"][t][None, :]
+                apart += np.bitwise_count(x.view(np.uint64))  # of signed numbers it counts the absolute value's
+            n_f, n_t = group["n"][f][:, None], group["n"][t][None, :]
+            ok = (apart <= limit_unequal(limit)) & (group["component"][f][:, None] != group["component"][t][None, :])
+            ok &= np.minimum(n_f, n_t) * 100 >= np.maximum(n_f, n_t) * limit
+            yield f, t, np.triu(ok) if own and at == to else ok
+
+
+def open_members(rows: DataFrame, limit: int) -> DataFrame:
+    """hub, node of the members that may be linked with one of another component. rows: DEALT."""
+
+    def judge(group: Group) -> list[tuple[int, int]]:
+        found: set[int] = set()
+        for f, t, ok in possible(group, limit):
+            found.update(f[ok.any(axis=1)].tolist(), t[ok.any(axis=0)].tolist())
+        return [(int(group["hub"][0]), int(group["node"][i])) for i in sorted(found)]
+
+    return by_blocks(rows, judge, ("hub", "node"))
+
+
+def search_blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """Links a, b between different components, of a hub's members in the same pair of blocks. rows: DEALT, shingles.
+
+    Of the links found in a pair of blocks only those leave it that join components that earlier ones haven't joined, so
+    a pair of blocks gives fewer links than it has members.
+    """
+
+    def judge(group: Group) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            c = int(group["component"][i])
+            while parent.setdefault(c, c) != c:
+                c = parent[c]
+            return c
+
+        out: list[tuple[int, int]] = []
+        for f, t, ok in possible(group, limit):
+            for i in np.flatnonzero(ok.any(axis=1)):
+                here = int(f[i])
+                there = [int(j) for j in t[np.flatnonzero(ok[i])] if root(j) != root(here)]
+                if not there:
+                    continue
+                both = overlaps(sets[here], [sets[j] for j in there])
+                for j, common in zip(there, both.tolist(), strict=True):
+                    x, y = root(here), root(j)
+                    if x != y and 100 * common >= limit * (len(sets[here]) + len(sets[j]) - common):
+                        parent[max(x, y)] = min(x, y)
+                        out.append((int(group["node"][here]), int(group["node"][j])))
+        return out
+
+    return by_blocks(rows, judge, ("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
@@ -302,14 +347,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = LIMIT) -
     #: Buckets with the same hub are searched as one, so a pair that shares many buckets is judged once.
     around = buckets.join(hubs, "key").select(F.col("b").alias("hub"), "node").distinct()
     named = around.join(tied, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("hub", "size")
-    unsettled = work.table(named.join(mixed, "hub"), "unsettled")
-    full = full_sets(unsettled.select(F.col("node").alias("doc_id")).distinct(), docs, width)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_rows = unsettled.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_rows = open_rows.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    open_rows = open_rows.join(sketch_of.join(full, "node"), "node")
+    named = work.table(named, "named")
+    left = work.table(open_members(deal(named, sketch_of, SKETCHED), limit), "open")
+    full = full_sets(left.select(F.col("node").alias("doc_id")).distinct(), docs, width)
+    open_rows = deal(named.join(left, ["hub", "node"]), sketch_of, BLOCK).join(full, "node").select(*DEALT, "shingles")
     more = work.table(search_blocks(open_rows, limit), "more")
     final = work.table(components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), work, "last"), "final")
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chainloom.llm import minhash_dedup as m
@@ -48,12 +49,51 @@ def test_group_without_a_hub(docs):
 def test_blocks_of_a_large_bucket(docs, monkeypatch):
     """Blocks and replicas of a few rows, and joins instead of broadcasts."""
     monkeypatch.setattr(m, "BLOCK", 8)
+    monkeypatch.setattr(m, "SKETCHED", 16)
     monkeypatch.setattr(m, "MEMBERS", 2)
     monkeypatch.setattr(m, "BROADCAST_IDS", 0)
     rows = corpus(5)
     assert result(docs(*rows), width=4) == brute.components(rows, 4)
 
 
+def windows(seed, docs=240, words=90):
+    """Overlapping windows of a few long sequences, with strays between them: only the search of blocks finds all links."""
+    rng = random.Random(seed)
+    rows, n = [], 0
+    for k in range(3):
+        line, at = [f"v{k}w{i}" for i in range(words + 8 * docs)], 0
+        for _ in range(docs // 3):
+            text = line[at : at + words]
+            at += rng.randint(5, 9)
+            if rng.random() < 0.2:
+                text = [*text[: words // 2], *(f"z{n}y{j}" for j in range(words // 2))]
+            rows.append((n, " ".join(text)))
+            n += 1
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("block", "sketched"), [(256, 2048), (8, 8)])
+def test_chains_of_windows(docs, monkeypatch, block, sketched):
+    monkeypatch.setattr(m, "BLOCK", block)
+    monkeypatch.setattr(m, "SKETCHED", sketched)
+    rows = windows(block)
+    assert result(docs(*rows), width=4) == brute.components(rows, 4)
+
+
+def test_no_pair_at_the_limit_is_estimated_out():
+    """Signatures of pairs at and above the limit stay within the margin, whatever their top bits."""
+    rng = np.random.default_rng(5)
+    for share in (0.8, 0.85, 0.9, 0.95):
+        both = round(400 * 2 * share / (1 + share))
+        for _ in range(100):
+            x = rng.integers(0, 1 << 64, 800 - both, np.uint64)
+            a, b = m.packed(m.minima(x[:400])), m.packed(m.minima(x[-400:]))
+            group = {f"g{i}": np.array([a[i], b[i]]) for i in range(m.WORDS)}
+            group |= {k: np.array(v) for k, v in {"lo": [0, 0], "hi": [0, 0], "side": [0, 0], "node": [0, 1], "component": [0, 1], "n": [400, 400]}.items()}
+            assert any(ok.any() for _, _, ok in m.possible(group, 80))
+
+
 def test_odd_rows(odd, spark):
     out = m.near_duplicates(odd, width=4).collect()
     assert len(out) == 10
