@@ -43,8 +43,8 @@ BLOCK_TOKENS = 1 << 19
 #: A letter, and punctuation at which the pre-tokeniser ends a run of letters whatever follows.
 WORD_ENDS = r'([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,;:!?*#%&$")\]}-])'
 LOWER = bytes(ord(c) if len(c := chr(x).lower()) == 1 and ord(c) < 256 else x for x in range(256))
-KEPT_BYTES = 48 << 20  # of chunks and ids in a generation of those that a worker keeps
-KEPT = 400_000  # chunks in a generation
+KEPT_BYTES = 24 << 20  # of chunks and ids in a generation of those that a worker keeps
+KEPT = 150_000  # chunks in a generation
 BATCH = 8192  # unseen chunks that go to the library at once
 PIECE = 4 << 20  # bytes of text whose chunks are looked up together
 
