@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEGMENT = 1 << 20  # bytes of a text that are split into words at a time
+BATCH_BYTES = 8 << 20  # of an Arrow batch that goes to a Python worker, one row at least
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts: Arrow batches are bounded by bytes, below what the session allows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Workspace:
     """Intermediate tables of one operator call, written to the shared folder and read back.
 
@@ -38,6 +47,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/chainloom-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.remove)
 
@@ -58,6 +68,7 @@ class Workspace:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

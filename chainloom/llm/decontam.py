@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import Workspace, documents, mix
+from chainloom.llm.common import Workspace, bound_batches, documents, mix
 
 WINDOW = 8
 PLAIN = 5  # plain words of a window at least
@@ -321,6 +321,7 @@ def joined(docs: DataFrame, items: DataFrame, work: Workspace) -> DataFrame:
 
 def known(benchmark: DataFrame, table: int) -> tuple[DataFrame, Benchmark | None]:
     """The items, and the table of their windows if there are few enough."""
+    bound_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     words = items.agg(F.coalesce(F.sum(F.size(F.split(F.col("text"), r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+"))), F.lit(0))).first()[0]
     few = words <= table  # there are at most as many windows of either kind as words
