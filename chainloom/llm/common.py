@@ -7,6 +7,8 @@ exactly ``bytes.lower().split()``, which neither touches non-ASCII letters nor s
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +40,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Workspace:
     """Intermediate tables of one operator call, written to the shared folder and read back.
 

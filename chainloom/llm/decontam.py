@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -344,11 +343,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, table: int = TABLE) ->
     if bench is not None:
         shared = docs.sparkSession.sparkContext.broadcast(bench)
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("boolean")
+        def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             canon = Canon()
             for texts in batches:
-                yield pd.Series([next(shared.value.leaks(canon.template((t or "").encode())), None) is None for t in texts], dtype=bool)
+                yield pa.array([next(shared.value.leaks(canon.template((t.as_py() or "").encode())), None) is None for t in texts], pa.bool_())
 
         return docs.filter(clean(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     work = Workspace(docs.sparkSession, "decontaminate")

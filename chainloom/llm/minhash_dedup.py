@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import Workspace, as_bytes, documents, mix, window_hashes, word_hashes
+from chainloom.llm.common import Workspace, as_bytes, documents, give_back, mix, window_hashes, word_hashes
 
 SHINGLE = 5
 LIMIT = 80  # per cent of the union that linked documents have in common
@@ -99,6 +99,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             if rows:
                 types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["doc_id", "text_hash", "n", "print", "bands", "signature"])
+        give_back()
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(sketched, SKETCH)
@@ -156,6 +157,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(at, 64)
                 found = [shingle_set(x, width).tobytes() for x in as_bytes(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sized(ids), "doc_id", "left_semi")
     return texts.mapInArrow(sets, "node long, shingles binary")
@@ -246,6 +248,7 @@ def by_blocks(rows: DataFrame, judge: Callable[[Group], list[tuple[int, int]]],
                 yield from send(x, False)
         if held is not None:
             yield from send(held, True)
+        give_back()
 
     dealt = rows.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi")
     return dealt.mapInArrow(searched, f"{names[0]} long, {names[1]} long").distinct()

@@ -12,7 +12,7 @@ Defined results: a null text is empty and has its end id alone; null doc_id and
 repeated rows are documents of their own; an empty table gives no rows; other columns are ignored. Encoding is by
 chunks, cut at ASCII white space and where a letter meets punctuation, which the library's normaliser and pre-tokeniser
 never join; that the vocabulary has these properties is tested, and one that hasn't them gets whole texts. Equal chunks
-of some megabytes of text are looked up once, and a worker keeps the ids of recurring chunks in bounded bytes. Very long
+of some megabytes of text are looked up once, and a task keeps the ids of recurring chunks in bounded bytes. Very long
 texts are taken piece by piece; a text without white space is one chunk, whatever its length.
 """
 
@@ -24,7 +24,6 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import Workspace, documents
+from chainloom.llm.common import Workspace, documents, give_back
 from chainloom.llm.token_counts import vocabulary
 
 WINDOW = 2048
@@ -43,7 +42,7 @@ BLOCK_TOKENS = 1 << 19
 #: A letter, and punctuation at which the pre-tokeniser ends a run of letters whatever follows.
 WORD_ENDS = r'([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,;:!?*#%&$")\]}-])'
 LOWER = bytes(ord(c) if len(c := chr(x).lower()) == 1 and ord(c) < 256 else x for x in range(256))
-KEPT_BYTES = 24 << 20  # of chunks and ids in a generation of those that a worker keeps
+KEPT_BYTES = 24 << 20  # of chunks and ids in a generation of those that a task keeps
 KEPT = 150_000  # chunks in a generation
 BATCH = 8192  # unseen chunks that go to the library at once
 PIECE = 4 << 20  # bytes of text whose chunks are looked up together
@@ -204,18 +203,12 @@ def pieces(text: str) -> Iterator[str]:
         at = end
 
 
-@lru_cache(maxsize=1)
-def encoder_of(path: str) -> ChunkIds:
-    """The encoder of a worker, which its tasks share."""
-    return ChunkIds(path)
-
-
 def encode_blocks(docs: DataFrame, path: str) -> DataFrame:
     """Rows of BLOCKS; ids are 16-bit where the vocabulary allows, each document's with END_ID at the end."""
     end = np.array([END_ID], "<u4")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = encoder_of(path), TaskContext.get().partitionId() << 32
+        encoder, first = ChunkIds(path), TaskContext.get().partitionId() << 32
         schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("source", pa.string()), ("n", pa.int64())]))), ("ids", pa.binary())])
         held: list[dict] = []
         ids: list[np.ndarray] = []
@@ -237,6 +230,8 @@ def encode_blocks(docs: DataFrame, path: str) -> DataFrame:
                     held, ids, tokens, made = [], [], 0, made + 1
         if held:
             yield block()
+        del encoder, held, ids
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(1024))  # deals equal rows out as well
