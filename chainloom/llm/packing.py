@@ -45,7 +45,7 @@ LOWER = bytes(ord(c) if len(c := chr(x).lower()) == 1 and ord(c) < 256 else x fo
 KEPT_BYTES = 24 << 20  # of chunks and ids in a generation of those that a task keeps
 KEPT = 150_000  # chunks in a generation
 BATCH = 8192  # unseen chunks that go to the library at once
-PIECE = 4 << 20  # bytes of text whose chunks are looked up together
+PIECE = 2 << 20  # bytes of text whose chunks are looked up together
 
 #: The normaliser and pre-tokeniser for which chunks may be encoded apart.
 NORMALISERS = [("NFC", None, None), ("Replace", "\\s+", " "), ("Lowercase", None, None)]
