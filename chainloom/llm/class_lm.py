@@ -15,8 +15,12 @@ Words of the whole vocabulary are told apart by 64-bit hashes, whose last bits a
 of at most TABLE frequent words go to every worker as one sorted table of bounded size; rarer words' counts and classes are
 joined by shuffle, so none is left out. A word that isn't in the training texts has its group's class.
 
+Two passes read the texts: one counts words, the other writes each word as the number of its item in the table, and the
+hashes of the rarer ones; all others read these numbers.
+
 Defined results: a null or empty text is its end token alone; rows with a null doc_id train and aren't held out; repeated
-rows count each time and each give a row; without training texts every count is 0; an empty table gives no rows; columns
+rows count each time and each give a row; a very long text is split into words piece by piece; of words with one count, of
+which only some fit in the table, none does; without training texts every count is 0; an empty table gives no rows; columns
 other than doc_id and text are ignored.
 """
 
@@ -28,18 +32,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import Workspace, as_bytes, documents, fold_of, segments
+from chainloom.llm.common import Workspace, as_bytes, documents, fold_of, give_back, segments
 
 FREQUENT = 500
 GROUPS = 64
 CLASSES = 32  # at least
 SETTLED = 0.001  # rounds of words end when the likelihood rises by less than this share
 TABLE = 1 << 19
-KEPT = 500_000  # words a worker keeps numbers of
+PIECE = 16 << 20  # bytes of texts that are split into words at a time
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end token's hash
 FLUSH = 1 << 20  # tokens that a worker gathers before it adds equal ones up
 SLICE = 1 << 18  # tokens that are looked up at a time, if no text is longer
@@ -57,99 +62,30 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) & ~(GROUPS - 1) | zlib.crc32(word[-2:]) % GROUPS
 
 
-class Words:
-    """Numbers for words: equal words of a worker get equal numbers, with the word's hash by number."""
-
-    def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.hash = np.empty(1 << 12, np.uint64)
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.number) > KEPT:
-            self.clear()
-        new = list(set(words).difference(self.number))
-        at = len(self.number)
-        while at + len(new) > len(self.hash):
-            self.hash = np.concatenate([self.hash, np.empty_like(self.hash)])
-        self.hash[at : at + len(new)] = np.fromiter(map(word_hash, new), np.uint64, len(new))
-        self.number.update(zip(new, range(at, at + len(new)), strict=True))
-        return self.hash[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))]
-
-    def parts(self, blob: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Hashes and groups of a text's words, segment by segment."""
-        for part in segments(blob):
-            if words := part.lower().split():
-                h = self.hashes(words)
-                yield h, group_of(h)
-
-
-def hashed(docs: DataFrame) -> DataFrame:
-    """docs with the hashes of each text's words, as bytes, in the place of the last column, the text."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words()
-        for batch in batches:
-            first, sizes, words, done = 0, [], [], []
-
-            def out(first: int, sizes: list[int], done: list[np.ndarray], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64) * 8]).astype(np.int32)
-                whole = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(done))])
-                return pa.RecordBatch.from_arrays([*(c.slice(first, len(sizes)) for c in batch.columns[:-1]), whole], names=names)
-
-            for blob in as_bytes(batch.column(batch.num_columns - 1)):
-                sizes.append(0)
-                for part in segments(blob):
-                    new = part.lower().split()
-                    sizes[-1] += len(new)
-                    words += new
-                    if len(words) >= SLICE:
-                        done.append(table.hashes(words))
-                        words = []
-                if sum(map(len, done)) >= FLUSH:
-                    yield out(first, sizes, [*done, table.hashes(words)])
-                    first, sizes, words, done = first + len(sizes), [], [], []
-            if sizes:
-                yield out(first, sizes, [*done, table.hashes(words)])
-
-    names = [*docs.columns[:-1], "words"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(cut, f"{kinds}{', ' if kinds else ''}words binary")
-
-
-class Slice(NamedTuple):
-    """Some texts of a batch, from first to last: their words' hashes, one after the other, and each text's length."""
-
-    batch: pa.RecordBatch
-    first: int
-    last: int
-    hashes: np.ndarray
-    sizes: np.ndarray
-
-    def texts(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.sizes)), self.sizes)
-
-    def places(self) -> np.ndarray:
-        """Place of each word if a boundary stands before each text and after the last one."""
-        return np.arange(len(self.hashes)) + self.texts() + 1
-
-
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
-    for batch in batches:
-        column = batch.column(batch.num_columns - 1)
-        if not len(column):
-            continue
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        data = column.buffers()[2]
-        first = 0
-        while first < len(column):
-            last = max(first + 1, int(np.searchsorted(ends, ends[first] + 8 * SLICE, "right")) - 1)
-            n = int(ends[last] - ends[first]) // 8
-            h = np.frombuffer(data, np.uint64, n, int(ends[first])) if n else np.empty(0, np.uint64)
-            yield Slice(batch, first, last, h, np.diff(ends[first : last + 1]) // 8)
-            first = last
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, one after the other, and each text's number of them. Equal words are hashed once."""
+    low = pc.ascii_lower(texts.cast(pa.large_string()).fill_null(""))
+    split = pc.ascii_split_whitespace(low)
+    ends = split.offsets.to_numpy().astype(np.int64)
+    coded = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    once = [w.encode() for w in coded.dictionary.to_pylist()]
+    code = coded.indices.to_numpy()
+    word = np.fromiter(map(len, once), np.int64, len(once)) > 0  # white space at a text's ends leaves empty strings
+    real = word[code]
+    below = np.concatenate([[0], np.cumsum(real)])
+    return np.fromiter(map(word_hash, once), np.uint64, len(once))[code[real]], np.diff(below[ends - ends[0]])
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same for texts of any length: those of an array above PIECE bytes are split piece by piece."""
+    if texts.nbytes <= PIECE:
+        return split_words(texts)
+    hashes, sizes = [], []
+    for blob in as_bytes(texts):
+        parts = [split_words(pa.array([part.decode()]))[0] for part in segments(blob, PIECE)]
+        hashes += parts
+        sizes.append(sum(map(len, parts)))
+    return np.concatenate(hashes), np.array(sizes, np.int64)
 
 
 class Summed:
@@ -172,7 +108,7 @@ class Summed:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """hash, grp, n of every word and the end token. texts: words."""
+    """hash, grp, n of every word and the end token. texts: text."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, ends = Summed(), 0
@@ -181,15 +117,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
             keys, n = sums.total()
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(group_of(keys).astype(np.int32)), pa.array(n)], names=["hash", "grp", "n"])
 
-        for s in slices(batches):
-            ends += len(s.sizes)
-            sums.add(s.hashes)
+        for batch in batches:
+            ends += batch.num_rows
+            sums.add(words_of(batch.column(0))[0])
             if sums.size > FLUSH:  # what one task holds is bounded; the shuffle adds up the rest
                 yield out()
                 sums = Summed()
         yield out()
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([int(END.view(np.int64))]), pa.array([-1], pa.int32()), pa.array([ends])], names=["hash", "grp", "n"])
+        del sums
+        give_back()
 
     return texts.mapInArrow(counted, "hash long, grp int, n long").groupBy("hash").agg(F.min("grp").alias("grp"), F.sum("n").alias("n"))
 
@@ -200,7 +138,12 @@ class Table(NamedTuple):
     hash: np.ndarray
     count: np.ndarray
     item: np.ndarray
-    own: np.ndarray  # groups of the words that are clustered first
+
+    def of_items(self, values: np.ndarray) -> np.ndarray:
+        """Values of the table's words by their items; 0 for other items."""
+        out = np.zeros(ITEMS + max(0, len(self.hash) - FREQUENT), values.dtype)
+        out[self.item] = values
+        return out
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 for a rarer word."""
@@ -230,14 +173,75 @@ def frequent(counts: DataFrame) -> Table:
             break
         least = r["level"]
     if least is None:
-        return Table(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
+        return Table(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2)
     got = counts.filter("grp >= 0").filter(level >= least).select("hash", "grp", "n").toArrow()
     h, n = got["hash"].to_numpy().view(np.uint64), got["n"].to_numpy()
     rank = np.lexsort((h, -n))
     item = np.empty(len(h), np.int64)
     item[rank] = np.arange(len(rank)) + np.where(np.arange(len(rank)) < FREQUENT, 0, ITEMS - FREQUENT)
     order = np.argsort(h)
-    return Table(h[order], n[order], item[order], got["grp"].to_numpy()[rank[:FREQUENT]])
+    return Table(h[order], n[order], item[order])
+
+
+def coded(docs: DataFrame, table: Callable[[], Table]) -> DataFrame:
+    """docs with items, of the words of each text, in the place of the last column, the text; and rare, the hashes of those
+    words that aren't in the table. Both are bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table()
+        binary = lambda x, ends: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]).cast(pa.binary())
+        for batch in batches:
+            h, sizes = words_of(batch.column(batch.num_columns - 1))
+            items = known.items(h, group_of(h)).astype(np.int32)
+            rare = is_rare(items)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binary(items, ends), binary(h[rare], np.concatenate([[0], np.cumsum(rare)])[ends])], names=names)
+        give_back()
+
+    names = [*docs.columns[:-1], "items", "rare"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    return docs.mapInArrow(cut, f"{kinds}{', ' if kinds else ''}items binary, rare binary")
+
+
+def is_rare(items: np.ndarray) -> np.ndarray:
+    return (items >= FREQUENT) & (items < EDGE)
+
+
+class Slice(NamedTuple):
+    """Some texts of a batch, from first to last: their words' items, one after the other, the hashes of the rare ones among
+    them, and each text's length."""
+
+    batch: pa.RecordBatch
+    first: int
+    items: np.ndarray
+    rare: np.ndarray
+    sizes: np.ndarray
+
+    def texts(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def places(self) -> np.ndarray:
+        """Place of each word if a boundary stands before each text and after the last one."""
+        return np.arange(len(self.items)) + self.texts() + 1
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    """Slices of SLICE words, or one text, of rows that end with items and rare."""
+
+    def numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        size = np.dtype(kind).itemsize
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // size
+        whole = column.buffers()[2]
+        return ends, np.frombuffer(whole, kind, len(whole) // size) if whole else np.empty(0, kind)
+
+    for batch in batches:
+        ends, items = numbers(batch.column(batch.num_columns - 2), np.int32)
+        rare_ends, rare = numbers(batch.column(batch.num_columns - 1), np.uint64)
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE, "right")) - 1)
+            yield Slice(batch, first, items[ends[first] : ends[last]], rare[rare_ends[first] : rare_ends[last]], np.diff(ends[first : last + 1]))
+            first = last
 
 
 def neighbours(texts: DataFrame, table: Callable[[], Table]) -> np.ndarray:
@@ -245,10 +249,11 @@ def neighbours(texts: DataFrame, table: Callable[[], Table]) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = table(), np.zeros(ITEMS * ITEMS, np.int64)
+        by_group = FREQUENT + known.of_items(group_of(known.hash))
+        by_group[:ITEMS] = np.arange(ITEMS)
         for s in slices(batches):
-            items = known.items(s.hashes, group_of(s.hashes))
-            line = np.full(len(items) + len(s.sizes) + 1, EDGE)
-            line[s.places()] = np.where(items < ITEMS, items, FREQUENT + group_of(s.hashes))
+            line = np.full(len(s.items) + len(s.sizes) + 1, EDGE)
+            line[s.places()] = by_group[s.items]
             sums += np.bincount(line[:-1] * ITEMS + line[1:], minlength=ITEMS * ITEMS)
         full = np.flatnonzero(sums)
         if len(full):
@@ -313,14 +318,25 @@ class Classes(NamedTuple):
 
 
 CONTEXT = "bucket int, words binary, sizes binary, codes binary, ns binary"
+DEAL = 0x9E3779B1  # odd, so that it has an inverse modulo 2 ** 32
+BACK = pow(DEAL, -1, 1 << 32)
+
+
+def dealt(items: np.ndarray) -> np.ndarray:
+    """Numbers of 32 bits for items, one to one, whose first bits deal them out evenly."""
+    return items.astype(np.int64) * DEAL & 0xFFFFFFFF
+
 
+def undealt(numbers: np.ndarray) -> np.ndarray:
+    return (numbers.astype(np.uint64) * np.uint64(BACK) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
-def class_lines(s: Slice, known: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes with a boundary before each text and after the last; whether that is a rare word's group's; items; places."""
-    items, at = known.table.items(s.hashes, group_of(s.hashes)), s.places()
-    line, rare = np.full(len(items) + len(s.sizes) + 1, known.of[EDGE]), np.zeros(len(items) + len(s.sizes) + 1, bool)
-    line[at], rare[at] = known.of[items], (items >= FREQUENT) & (items < EDGE)
-    return line, rare, items, at
+
+def class_lines(s: Slice, known: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes with a boundary before each text and after the last; whether that is a rare word's group's; places of words."""
+    at = s.places()
+    line, rare = np.full(len(s.items) + len(s.sizes) + 1, known.of[EDGE]), np.zeros(len(s.items) + len(s.sizes) + 1, bool)
+    line[at], rare[at] = known.of[s.items], is_rare(s.items)
+    return line, rare, at
 
 
 def bigrams_of(texts: DataFrame, known: Callable[[], Classes]) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +346,7 @@ def bigrams_of(texts: DataFrame, known: Callable[[], Classes]) -> tuple[np.ndarr
         now = known()
         n, sums = now.n, np.zeros(2 * now.n**2, np.int64)
         for s in slices(batches):
-            line, rare, _, _ = class_lines(s, now)
+            line, rare, _ = class_lines(s, now)
             sums += np.bincount(line[:-1] * n + line[1:] + n * n * (rare[:-1] | rare[1:]), minlength=2 * n * n)
         full = np.flatnonzero(sums)
         if len(full):
@@ -354,30 +370,37 @@ def contexts(texts: DataFrame, known: Callable[[], Classes], beyond: bool, bucke
         now, held, size = known(), [], 0
 
         def rows() -> pa.RecordBatch:
-            h, code = (np.concatenate(c) for c in zip(*held, strict=True))
-            once, word = np.unique(h, return_inverse=True)
-            keys, n = np.unique(word * (4 * now.n) + code, return_counts=True)
-            sizes = np.bincount(keys // (4 * now.n), minlength=len(once))
-            bucket = (once >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            names, code = (np.concatenate(c) for c in zip(*held, strict=True))
+            if beyond:  # a hash and a code are no one number
+                once, word = np.unique(names, return_inverse=True)
+                keys, n = np.unique(word * (4 * now.n) + code, return_counts=True)
+                word = keys // (4 * now.n)
+            else:
+                keys, n = np.unique(names * (4 * now.n) + code, return_counts=True)
+                once, word = np.unique(keys // (4 * now.n), return_inverse=True)
+                once = once.astype(np.uint32)
+            sizes = np.bincount(word, minlength=len(once))
+            bucket = (once >> np.uint64(32) if beyond else once.astype(np.uint64)) * np.uint64(buckets) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends, below = np.append(first, len(once)), np.concatenate([[0], np.cumsum(sizes)])
-            names = once if beyond else now.table.find(once).astype(np.int32)
             cut = lambda x, ends: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
-            packed = [cut(names, ends), cut(sizes.astype(np.int16), ends), cut((keys % (4 * now.n)).astype(np.int16), below[ends]), cut(n.astype(np.int32), below[ends])]
+            packed = [cut(once, ends), cut(sizes.astype(np.int16), ends), cut((keys % (4 * now.n)).astype(np.int16), below[ends]), cut(n.astype(np.int32), below[ends])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *packed], names=["bucket", "words", "sizes", "codes", "ns"])
 
         for s in slices(batches):
-            line, rare, items, at = class_lines(s, now)
-            moves = np.flatnonzero(rare[at] if beyond else items >= ITEMS)
-            at, h = at[moves], s.hashes[moves]
+            line, rare, at = class_lines(s, now)
+            moves = is_rare(s.items) if beyond else s.items >= ITEMS
+            at, names = at[moves], s.rare if beyond else dealt(s.items[moves])
             for beside, shift in ((at + 1, 0), (at - 1, now.n)):
-                held.append((h, (shift + line[beside] + 2 * now.n * rare[beside]).astype(np.int16)))
-            size += 2 * len(moves)
+                held.append((names, shift + line[beside] + 2 * now.n * rare[beside]))
+            size += 2 * len(names)
             if size >= FLUSH:
                 yield rows()
                 held, size = [], 0
         if size:
             yield rows()
+        del held
+        give_back()
 
     return texts.mapInArrow(counted, CONTEXT)
 
@@ -388,10 +411,12 @@ def rare_pairs(texts: DataFrame, known: Callable[[], Classes]) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = known()
         for s in slices(batches):
-            _, rare, _, at = class_lines(s, now)
-            both = np.flatnonzero(rare[at] & rare[at + 1])
+            _, rare, at = class_lines(s, now)
+            own = rare[at]
+            both = np.flatnonzero(own & rare[at + 1])
             if len(both):
-                yield pa.RecordBatch.from_arrays([pa.array(s.hashes[x].view(np.int64)) for x in (both, both + 1)], names=["hash", "next"])
+                place = (np.cumsum(own) - 1)[both]
+                yield pa.RecordBatch.from_arrays([pa.array(s.rare[x].view(np.int64)) for x in (place, place + 1)], names=["hash", "next"])
 
     return texts.mapInArrow(found, "hash long, next long")
 
@@ -417,21 +442,21 @@ def best_classes(own: np.ndarray, right: np.ndarray, left: np.ndarray, m: np.nda
 
 
 def moved(rows: DataFrame, known: Callable[[], Classes], beyond: bool, m: np.ndarray) -> DataFrame:
-    """hash, cls of each word in rows of CONTEXT; with hash null, cls is a bigram of classes and n its count."""
+    """hash (or item of a word in the table), cls of each word in rows of CONTEXT; with hash null, cls is a bigram of classes
+    and n its count."""
     n = len(m)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums = known(), np.zeros(n * n, np.int64)
 
         def words(parts: list[list[bytes]]) -> pa.RecordBatch:
-            kinds = (np.uint64 if beyond else np.int32, np.int16, np.int16, np.int32)
+            kinds = (np.uint64 if beyond else np.uint32, np.int16, np.int16, np.int32)
             names, sizes, code, count = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*parts, strict=True), kinds, strict=True))
             once, word = np.unique(names, return_inverse=True)
             of = np.repeat(word, sizes)
             order = np.argsort(of, kind="stable")
             of, code, count = of[order], code[order].astype(np.int64), count[order]
-            once = once if beyond else now.table.hash[once]
-            own = now.of[now.table.items(once, group_of(once))]
+            own = now.of[FREQUENT + group_of(once)] if beyond else now.of[once := undealt(once)]
             best = np.empty(len(once), np.int64)
             for at in range(0, len(once), WORDS):
                 a, b = np.searchsorted(of, [at, at + WORDS])
@@ -444,7 +469,7 @@ def moved(rows: DataFrame, known: Callable[[], Classes], beyond: bool, m: np.nda
             return pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(best.astype(np.int32)), pa.array(np.zeros(len(once), np.int64))], names=["hash", "cls", "n"])
 
         bucket, parts = None, []
-        for batch in batches:
+        for batch in batches:  # of bounded bytes
             for b, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if parts and b != bucket:
                     yield words(parts)
@@ -468,18 +493,21 @@ class ClassModel(NamedTuple):
     rarer: DataFrame  # hash, cls of the words beyond the table
 
 
-def learn(texts: DataFrame, work: Workspace) -> tuple[ClassModel, DataFrame, int, int]:
-    """The model, the counts of all words, and the numbers of training tokens and of different ones. texts: words."""
-    spark = texts.sparkSession
-    counts = work.table(word_counts(texts), "counts")
+def learn(rows: DataFrame, work: Workspace) -> tuple[ClassModel, DataFrame, DataFrame, int, int]:
+    """The model, the counts of all words, the coded rows, and the numbers of training tokens and of different ones.
+
+    rows: any columns, trains (boolean), text.
+    """
+    spark = rows.sparkSession
+    counts = work.table(word_counts(rows.filter("trains").select("text")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n = max(CLASSES, min(ITEMS // 2, round(total["v"] ** (1 / 3))))
     table = frequent(counts)
     shared = spark.sparkContext.broadcast(table)
+    rows = work.table(coded(rows, lambda: shared.value), "items")
+    texts = rows.filter("trains").select("items", "rare")
     first = exchange(neighbours(texts, lambda: shared.value), n)
-    group = np.zeros(len(table.hash), np.int64)
-    group[table.item - np.where(table.item < ITEMS, 0, ITEMS - FREQUENT)] = group_of(table.hash)
-    of = np.concatenate([first, first[FREQUENT + group[FREQUENT:]]])
+    of = np.concatenate([first, first[FREQUENT + table.of_items(group_of(table.hash))[ITEMS:]]])
     buckets = 12 + total["n"] // BUCKET
     most, before = -np.inf, None
     while True:
@@ -495,7 +523,7 @@ def learn(texts: DataFrame, work: Workspace) -> tuple[ClassModel, DataFrame, int
         most, before = now, (of, m, unsure, known)
         got = moved(contexts(texts, known, False, buckets), known, False, m + unsure).filter("hash IS NOT NULL").select("hash", "cls").toArrow()
         of = of.copy()
-        of[table.item[table.find(got["hash"].to_numpy().view(np.uint64))]] = got["cls"].to_numpy()
+        of[got["hash"].to_numpy()] = got["cls"].to_numpy()
         if (of == before[0]).all():
             break
     rare = work.table(moved(contexts(texts, known, True, buckets), known, True, m + unsure), "rarer")
@@ -509,46 +537,44 @@ def learn(texts: DataFrame, work: Workspace) -> tuple[ClassModel, DataFrame, int
     for r in rarer.groupBy("cls").count().collect():
         types[r["cls"]] += r["count"]
     step = np.log10((m + 0.5) / (m.sum(axis=1, keepdims=True) + 0.5 * n))
-    return ClassModel(table, of, step, np.log10(m.sum(axis=0) + types + 1), rarer), counts, total["n"], total["v"]
+    return ClassModel(table, of, step, np.log10(m.sum(axis=0) + types + 1), rarer), counts, rows, total["n"], total["v"]
 
 
 def train(texts: DataFrame, work: Workspace) -> tuple[ClassModel, DataFrame, int, int]:
-    """What ``learn`` gives, from the column text."""
-    return learn(work.table(hashed(texts.select("text")), "train-words"), work)
+    """What ``learn`` gives, but the rows, from the column text."""
+    model, counts, _, n, v = learn(texts.select(F.lit(True).alias("trains"), "text"), work)
+    return model, counts, n, v
 
 
 def score(docs: DataFrame, trains: Column, held_out: Column) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "class-lm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(trains, F.lit(False)).alias("trains"), F.col("text").cast("string").alias("text"))
-    rows = work.table(hashed(rows), "words")
-    model, counts, n_train, n_types = learn(rows.filter("trains").select("words"), work)
+    model, counts, rows, n_train, n_types = learn(rows, work)
     shared = spark.sparkContext.broadcast(model._replace(rarer=None))
     n_ends = counts.filter("grp < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        logs_of = np.log10(m.table.count + 1.0)
+        logs_of = np.log10(m.table.of_items(m.table.count) + 1.0)
         for s in slices(batches):
             texts, k = s.texts(), len(s.sizes)
-            items = m.table.items(s.hashes, group_of(s.hashes))
-            place, c, rare = s.places(), m.of[items], (items >= FREQUENT) & (items < EDGE)
+            place, c, rare = s.places(), m.of[s.items], is_rare(s.items)
             line, gap = np.full(len(c) + k + 1, m.of[EDGE]), np.zeros(len(c) + k + 1, bool)
             line[place], gap[place] = c, rare
             steps = np.where(gap[:-1] | gap[1:], 0.0, m.step[line[:-1], line[1:]])
-            logs = np.zeros(len(c))
-            logs[~rare] = logs_of[m.table.find(s.hashes[~rare])]
+            logs = logs_of[s.items]  # 0 for rare ones
             summed = lambda x, texts=texts, k=k: np.bincount(texts, x, k)
             word_logs = summed(logs)
             model_logs = word_logs - summed(np.where(rare, 0.0, m.among[c])) + np.bincount(np.repeat(np.arange(k), s.sizes + 1), steps, k)
             at = place[rare]
             ends = pa.array(np.concatenate([[0], np.cumsum(summed(rare))]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (s.hashes[rare].view(np.int64), *(np.where(gap[x], -1, line[x]).astype(np.int32) for x in (at - 1, at + 1)))]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (s.rare.view(np.int64), *(np.where(gap[x], -1, line[x]).astype(np.int32) for x in (at - 1, at + 1)))]
             known = (summed(~rare) + int(n_ends > 0)).astype(np.int64)
             arrays = [*(s.batch.column(i).slice(s.first, k) for i in range(2)), pa.array(s.sizes + 1), pa.array(known), pa.array(word_logs + np.log10(n_ends + 1.0)), pa.array(model_logs), *lists]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare", "before", "after"])
 
-    local = rows.select("doc_id", "held_out", "words").mapInArrow(scored, LOCAL)
+    local = rows.select("doc_id", "held_out", "items", "rare").mapInArrow(scored, LOCAL)
     local = work.table(local.withColumn("uid", F.monotonically_increasing_id()), "local")
     #: Each word beyond the table gets its count and class by a join; a word that wasn't trained on, its group's class.
     held = counts.join(model.rarer, "hash").select("hash", "n", "cls")
@@ -576,6 +602,7 @@ def score(docs: DataFrame, trains: Column, held_out: Column) -> DataFrame:
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("logs") + more_logs - F.col("n_tokens") * F.lit(float(np.log10(n_train + n_types + 1)))).alias("base_score"),
         (F.col("model") + more_model).alias("score"),
+        F.pow(F.lit(10.0), -(F.col("model") + more_model) / F.col("n_tokens")).alias("perplexity"),
     )
 
 

@@ -41,13 +41,12 @@ def test_score_by_hand(docs, spark):
     got = {r.doc_id: r.score for r in scored(df, F.lit(False))}
     c = {r.hash: r.n for r in counts.collect()}
     assert (n, v) == (sum(c.values()), len(c))
-    words = lm.Words()
     for d, t in rows[:5]:
         total, before = 0.0, model.of[lm.EDGE]
-        for h, g in words.parts(t.encode()):
-            for x, i in zip(h, model.of[model.table.items(h, g)], strict=True):
-                total += model.step[before, i] + np.log10(c[int(x.view(np.int64))] + 1) - model.among[i]
-                before = i
+        h = np.array([lm.word_hash(w) for w in t.encode().lower().split()], np.uint64)
+        for x, i in zip(h, model.of[model.table.items(h, lm.group_of(h))], strict=True):
+            total += model.step[before, i] + np.log10(c[int(x.view(np.int64))] + 1) - model.among[i]
+            before = i
         assert got[d] == pytest.approx(total + model.step[before, model.of[lm.EDGE]], rel=1e-9)
 
 
@@ -135,6 +134,21 @@ def test_rare_words_choose_their_own_class(docs, spark, monkeypatch, table):
         assert got[d] == pytest.approx(total + model.step[before, model.of[lm.EDGE]], rel=1e-9)
 
 
+@pytest.mark.parametrize("piece", [lm.PIECE, 1 << 10])
+def test_words_of_texts(monkeypatch, piece):
+    """Words are runs outside space and 0x09 to 0x0D, whatever Unicode holds for white space; long texts are cut between them."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "PIECE", piece)
+    texts = ["A b\xa0C\u2003d \x1ce\x85", None, "", "  \t\n\x0b\x0c\r", "x " * 3000 + "\xc9t\xe9 \u0130", " B"]
+    h, sizes = lm.words_of(pa.array(texts))
+    words = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    assert h.tolist() == [lm.word_hash(x) for w in words for x in w]
+    part = pa.array(texts).slice(3, 2)
+    assert lm.words_of(part)[1].tolist() == [len(w) for w in words[3:5]]
+
+
 def test_classes_grow_with_the_vocabulary(spark, docs):
     from chainloom.llm.common import Workspace
 
