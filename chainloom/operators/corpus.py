@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chainloom.functions.exprs import first_peptide, has_feature, is_protein, spaced
 from chainloom.functions.schema import FEATURES, or_blank
+from chainloom.sources.scratch import scratch
 
 #: How a model's corpus joins values, and which models get characters with blanks between.
 SEPARATORS = {"bert": " [SEP] ", "protbert": " [SEP] ", "esm": " ", "llama": " "}
@@ -92,21 +93,40 @@ def ranked_by(df: DataFrame, hexes: Column, tie: str) -> DataFrame:
     return numbered.withColumn("_rank", F.col("_inside") + F.col("_before")).drop("_hex", "_range", "_r", "_inside", "_before")
 
 
-def contiguous_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
-    """Adds shard: runs of equal length in the key's order, the last one with the remainder.
+def ranked(df: DataFrame, key: str) -> DataFrame:
+    """Adds _rank, from 0 in the key's order, and _n, the number of rows.
 
-    Ranks come from a range partitioning of the key: rows are numbered within a range, ranges' sizes are summed up.
+    Rows are numbered within ranges of the key and ranges' sizes are summed up, so no task sorts them all. The ranges are
+    written to the shared folder, as both their sizes and their rows are read.
     """
-    spread = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()).persist()
+    at = f"{scratch(df.sparkSession, 'ranked')}/ranges"
+    df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()).write.parquet(at)
+    spread = df.sparkSession.read.parquet(at)
     sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sizes = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(every).alias("_n"))
     numbered = spread.withColumn("_inside", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
     numbered = numbered.join(F.broadcast(sizes), F.col("_part") == F.col("_p"))  # a row for each partition
-    rank = F.col("_inside") + F.col("_before") - 1
+    return numbered.withColumn("_rank", F.col("_inside") + F.col("_before") - 1).drop("_part", "_inside", "_p", "_before")
+
+
+def contiguous_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
+    """Adds shard: runs of equal length in the key's order, the last one with the remainder."""
     chunk = F.greatest(F.floor(F.col("_n") / F.lit(shards)), F.lit(1))
-    return numbered.withColumn("shard", F.least(F.floor(rank / chunk), F.lit(shards - 1)).cast("int")).drop("_part", "_inside", "_p", "_before", "_n")
+    return ranked(df, key).withColumn("shard", F.least(F.floor(F.col("_rank") / chunk), F.lit(shards - 1)).cast("int")).drop("_rank", "_n")
+
+
+def rank_batches(df: DataFrame, key: str, ranks: int, batch: int, drop_last: bool = True) -> DataFrame:
+    """Adds place, rank and batch: rows in the key's order are dealt to ranks in turn, and batched within a rank.
+
+    With drop_last only rows stay that give every rank the same number of full batches.
+    """
+    rows = ranked(df, key).withColumn("place", F.col("_rank").cast("long"))
+    rows = rows.withColumn("rank", F.pmod("place", F.lit(ranks))).withColumn("batch", F.floor(F.col("place") / (ranks * batch)))
+    if drop_last:
+        rows = rows.filter(F.col("batch") < F.floor(F.col("_n") / (ranks * batch)))
+    return rows.drop("_rank", "_n")
 
 
 def take_shuffled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -173,6 +173,13 @@ def listed_chains(df: DataFrame, layout: Layout) -> DataFrame:
     return pairs.select("tid", F.col("a").alias("tra"), F.col("b").alias("trb"))
 
 
+def set_aside(df: DataFrame, layout: Layout) -> DataFrame:
+    """The rows that ``listed_chains`` leaves out, as their chain strings have pieces without a colon: for a count or a report."""
+    if layout.chain not in ("lists", "cells"):
+        return df.limit(0)
+    return df.filter(chain_malformed(F.col("cdr3s_aa" if layout.chain == "lists" else "t_cdr3s_aa")))
+
+
 def interpret(df: DataFrame, layout: Layout) -> DataFrame:
     """The layout's rows under canonical names, before annotation."""
     if layout.chain in ("row", "file"):

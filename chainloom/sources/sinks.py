@@ -17,13 +17,19 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_pair(mri: DataFrame, seq: DataFrame, root: str, label: str) -> bool:
-    """Both tables of a source, unless they are finished; the MRI table is written last and stands for both."""
+    """Both tables of a source, unless they are finished; the MRI table is written last and stands for both.
+
+    Tables without rows aren't written. Whether anything was.
+    """
     spark = mri.sparkSession
     if exists(spark, f"{root}/mri/{label}_mri.parquet"):
         return False
-    write_table(seq, f"{root}/seq/{label}_seq.parquet")
-    write_table(mri, f"{root}/mri/{label}_mri.parquet")
-    return True
+    some = False
+    for kind, df in (("seq", seq), ("mri", mri)):
+        if not df.isEmpty():
+            write_table(df, f"{root}/{kind}/{label}_{kind}.parquet")
+            some = True
+    return some
 
 
 def write_splits(df: DataFrame, root: str, mode: str = "overwrite") -> None:
