@@ -137,6 +137,11 @@ def null_tokens(c: Column, compat: bool = False) -> Column:
     return c
 
 
+def json_value(c: Column, *paths: str) -> Column:
+    """The value at the first path of a JSON text that has one; empty without any."""
+    return F.coalesce(*(F.get_json_object(c, p) for p in paths), F.lit(""))
+
+
 def argmax(c: Column) -> Column:
     """Place of the first largest element, from 0."""
     return (F.array_position(c, F.array_max(c)) - 1).cast("int")

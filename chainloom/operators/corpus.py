@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +49,20 @@ def power_set(df: DataFrame, model: str = "bert", features: list[str] | None = N
     return rows.select(*(keep or []), F.explode(listed).alias("c")).select(*(keep or []), "c.combo_id", "c.combo_feats")
 
 
+def subset_counts(df: DataFrame, features: list[str] | None = None, skipped: set[tuple[str, ...]] = SKIPPED, by: list[str] | None = None) -> DataFrame:
+    """combo, n: how many rows have all features of a subset, the most frequent first; as counting a power set's rows.
+
+    Rows are counted by which features they have, and only those few counts are multiplied by subsets.
+    """
+    features, by = features or FEATURES, by or []
+    there = [has_feature(or_blank(df, f)).alias(f"_{i}") for i, f in enumerate(features)]
+    counted = df.select(*by, *there).groupBy(*by, *(f"_{i}" for i in range(len(features)))).agg(F.count(F.lit(1)).alias("_n"))
+    has = {f: F.coalesce(F.col(f"_{i}"), F.lit(False)) for i, f in enumerate(features)}
+    listed = F.array(*(F.when(reduce(lambda a, b: a & b, (has[f] for f in s)), F.lit("_".join(sorted(s)))) for s in subsets(features, skipped)))
+    each = counted.select(*by, "_n", F.explode(F.filter(listed, lambda c: c.isNotNull())).alias("combo"))
+    return each.groupBy(*by, "combo").agg(F.sum("_n").alias("n")).orderBy(*by, F.desc("n"), "combo")
+
+
 def tagged(df: DataFrame, tags: dict[str, tuple[str, str]] = TAGS) -> Column:
     """array<string> of "[TRA] C A S [ETRA]" for each feature that is a protein."""
     each = []

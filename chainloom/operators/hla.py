@@ -16,6 +16,7 @@ VALID = [
     r"^DR[AB][1345]?\*\d{2}(:\d{2}){0,2}$",
     r"^D[PQ][AB][12]?\*\d{2}(:\d{2}){0,2}$",
 ]
+#: Fixed value: the mark of a mutant.
 MUTANT = r"\s+([A-Za-z0-9, ]+)\s+mutant$"
 MOST_ALLELES = 200_000  # rows of a reference table that is broadcast; longer ones are joined by shuffle
 BETA = ["DRB", "DPB", "DQB"]
@@ -76,9 +77,32 @@ def restriction_pair(c: Column) -> tuple[Column, Column]:
     )
 
 
+#: Forms of names that the older rules know, and what becomes of each.
+LEGACY = [
+    (r"^HLA-([ABC]\*\d+:\d+)$", "$1"),
+    (r"^HLA-(D[PQ][AB][12]?\*\d+:\d+)$", "$1"),
+    (r"^HLA-(DR[AB][1345]?\*\d+:\d+)$", "$1"),
+    (r"^HLA-(DR[AB][1345]?\*\d+)$", "$1:01"),
+    (r"^HLA-(D[PQ][AB][12]?)$", "$1*01:01"),
+    (r"^HLA-(E\*\d+:\d+)$", "$1"),
+]
+LEGACY_SHORT = r"^HLA-([ABC])(\d{1,2})$"
+
+
 def legacy_normalised(c: Column) -> Column:
-    """Class I names of the older rules: missing fields become 01, one-digit fields two-digit ones; others pass."""
-    base = F.regexp_replace(F.trim(c), "^HLA-", "")
-    base = F.regexp_replace(base, r"^([ABC])\*?(\d{1,2})$", "$1*$2:01")
-    base = F.regexp_replace(base, r"^([ABC])\*(\d):", "$1*0$2:")
-    return F.regexp_replace(base, r":(\d)$", ":0$1")
+    """Names by the older rules, but for short class I names, which are looked up; other forms and null pass unchanged."""
+    out = c
+    for form, name in reversed(LEGACY):
+        out = F.when(c.rlike(form), F.regexp_replace(c, form, name)).otherwise(out)
+    return out
+
+
+def legacy_resolve(df: DataFrame, alleles: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds names by the older rules: a short class I name is the first allele of its two digits, or their field 01."""
+    c = F.col(column)
+    digits = F.lpad(F.regexp_extract(c, LEGACY_SHORT, 2), 2, "0")
+    key = F.when(c.rlike(LEGACY_SHORT), F.concat(F.regexp_extract(c, LEGACY_SHORT, 1), F.lit("*"), digits))
+    first = sized(prefixes(alleles))
+    found = df.withColumn("_key", key).join(first, F.col("_key") == F.col("prefix"), "left")
+    name = F.when(F.col("_key").isNotNull(), F.coalesce("first_allele", F.concat("_key", F.lit(":01")))).otherwise(legacy_normalised(c))
+    return found.withColumn(out, name).drop("_key", "prefix", "first_allele")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,22 +52,32 @@ def chosen(ids: Column, key: Column, share: float, specials: list[int], seed: in
     return F.transform(F.slice(free, F.lit(1), n), lambda p: p["i"])
 
 
+def placed(ids: Column, at: Column, change: Callable[[Column, Column], Column]) -> tuple[Column, Column]:
+    """(ids changed at the given positions, labels). at is bound once: inside the element's function it would be made anew
+    for every element."""
+    rows = F.transform(
+        F.array(F.struct(ids.alias("ids"), at.alias("at"))),
+        lambda s: F.struct(
+            F.transform(s["ids"], lambda t, i: F.when(F.array_contains(s["at"], i), change(t, i)).otherwise(t)).alias("ids"),
+            F.transform(s["ids"], lambda t, i: F.when(F.array_contains(s["at"], i), t).otherwise(F.lit(IGNORED))).alias("labels"),
+        ),
+    )
+    return F.get(rows, F.lit(0))["ids"], F.get(rows, F.lit(0))["labels"]
+
+
 def at_random(ids: Column, key: Column, share: float, mask: int, specials: list[int], seed: int = 42) -> tuple[Column, Column]:
     """(masked ids, labels) with the chosen positions masked."""
-    at = chosen(ids, key, share, specials, seed)
-    return F.transform(ids, lambda t, i: F.when(F.array_contains(at, i), F.lit(mask)).otherwise(t)), F.transform(ids, lambda t, i: F.when(F.array_contains(at, i), t).otherwise(F.lit(IGNORED)))
+    return placed(ids, chosen(ids, key, share, specials, seed), lambda t, i: F.lit(mask))
 
 
 def dynamic(ids: Column, key: Column, share: float, mask: int, vocab_size: int, specials: list[int], seed: int = 42) -> tuple[Column, Column]:
     """(ids, labels): of the chosen positions 80 % are masked, 10 % get another id, 10 % stay, each by a hash."""
-    at = chosen(ids, key, share, specials, seed)
 
     def changed(t: Column, i: Column) -> Column:
         h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"d{seed}"), key.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long")
-        new = F.when(h % 10 < 8, F.lit(mask)).when(h % 10 == 8, ((h / 10).cast("long") % vocab_size).cast("int")).otherwise(t)
-        return F.when(F.array_contains(at, i), new).otherwise(t)
+        return F.when(h % 10 < 8, F.lit(mask)).when(h % 10 == 8, (F.call_function("div", h, F.lit(10)) % vocab_size).cast("int")).otherwise(t)
 
-    return F.transform(ids, changed), F.transform(ids, lambda t, i: F.when(F.array_contains(at, i), t).otherwise(F.lit(IGNORED)))
+    return placed(ids, chosen(ids, key, share, specials, seed), changed)
 
 
 def restored(ids: Column, labels: Column, pad: int) -> Column:

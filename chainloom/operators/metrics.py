@@ -49,10 +49,10 @@ def position_accuracy(df: DataFrame, targets: str, preds: str) -> DataFrame:
     return each.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("r.y") == F.col("r.p")).cast("double")).alias("accuracy"))
 
 
-def perplexity(df: DataFrame, loss: Column, weight: Column, guard: float = 100.0) -> DataFrame:
+def perplexity(df: DataFrame, loss: Column, weight: Column, guard: float = 100.0, by: list[str] | None = None) -> DataFrame:
     """loss weighted by the number of tokens it is a mean of, and its exponential, infinite from guard on."""
     mean = F.try_divide(F.sum(loss * weight), F.sum(weight))
-    return df.agg(mean.alias("loss")).withColumn("perplexity", F.when(F.col("loss") < guard, F.exp("loss")).otherwise(F.lit(float("inf"))))
+    return df.groupBy(*(by or [])).agg(mean.alias("loss")).withColumn("perplexity", F.when(F.col("loss") < guard, F.exp("loss")).otherwise(F.lit(float("inf"))))
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -65,9 +65,22 @@ def bleu(df: DataFrame, reference: Column, candidate: Column, order: int = 4) ->
     rows = df.select(reference.alias("r"), candidate.alias("c"))
 
     def clipped(n: int) -> tuple[Column, Column]:
+        """Matches by sorted n-grams of both sides, each with its side: of equal ones, the lesser number."""
         r, c = ngrams(F.col("r"), n), ngrams(F.col("c"), n)
-        times = lambda a, g: F.size(F.filter(a, lambda x: x == g))
-        return F.aggregate(F.array_distinct(c), F.lit(0), lambda acc, g: acc + F.least(times(c, g), times(r, g))), F.size(c)
+        tagged = lambda a, side: F.transform(a, lambda g: F.struct(g.alias("g"), F.lit(side).alias("s")))
+        start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("sum"))
+
+        def step(acc: Column, x: Column) -> Column:
+            same = acc["g"].eqNullSafe(x["g"])
+            return F.struct(
+                x["g"].alias("g"),
+                (F.when(same, acc["a"]).otherwise(0) + (x["s"] == 0).cast("int")).alias("a"),
+                (F.when(same, acc["b"]).otherwise(0) + (x["s"] == 1).cast("int")).alias("b"),
+                (acc["sum"] + F.when(same, 0).otherwise(F.least(acc["a"], acc["b"]))).alias("sum"),
+            )
+
+        both = F.array_sort(F.concat(tagged(r, 0), tagged(c, 1)))
+        return F.aggregate(both, start, step, lambda acc: acc["sum"] + F.least(acc["a"], acc["b"])), F.size(c)
 
     sums = []
     for n in range(1, order + 1):
@@ -79,29 +92,49 @@ def bleu(df: DataFrame, reference: Column, candidate: Column, order: int = 4) ->
     return got.select(F.coalesce(brevity * F.exp(logs), F.lit(0.0)).alias("bleu"))
 
 
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence, by whole rows of bits."""
+    place: dict = {}
+    for i, x in enumerate(a):
+        place[x] = place.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        match = row & place.get(y, 0)
+        row = (row + match | row - match) & full
+    return len(a) - row.bit_count()
+
+
 def rouge_l() -> Column:
     """F-measure of the longest common subsequence of two word lists, as a vectorised function."""
 
     @F.pandas_udf("double")
     def score(references: pd.Series, candidates: pd.Series) -> pd.Series:
-        def one(a: list, b: list) -> float:
-            if not len(a) or not len(b):
-                return 0.0
-            row = [0] * (len(b) + 1)
-            for x in a:
-                corner = 0
-                for j, y in enumerate(b, 1):
-                    above = row[j]
-                    row[j] = corner + 1 if x == y else max(above, row[j - 1])
-                    corner = above
-            p, r = row[-1] / len(b), row[-1] / len(a)
-            return 2 * p * r / (p + r) if row[-1] else 0.0
-
-        return pd.Series([one(a, b) for a, b in zip(references, candidates, strict=True)])
+        return pd.Series([2 * common_length(list(a), list(b)) / max(1, len(a) + len(b)) for a, b in zip(references, candidates, strict=True)], dtype=float)
 
     return score
 
 
+def meteor(df: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
+    """key, meteor of exact words: the last occurrence of a word meets the other side's last, the one before it that side's
+    one before. Recall counts nine times precision; half the cube of the share of chunks, runs in both texts' order, is the penalty.
+
+    Stems and synonyms, which need word lists from elsewhere, aren't matched.
+    """
+
+    def places(words: str, place: str) -> DataFrame:
+        each = df.select(key, F.posexplode(words).alias(place, "word"))
+        return each.withColumn("nth", F.row_number().over(Window.partitionBy(key, "word").orderBy(F.desc(place))))
+
+    order = Window.partitionBy(key).orderBy("j")
+    met = places(reference, "i").join(places(candidate, "j"), [key, "word", "nth"])
+    met = met.withColumn("starts", ~F.coalesce((F.col("i") == F.lag("i").over(order) + 1) & (F.col("j") == F.lag("j").over(order) + 1), F.lit(False)))
+    counted = met.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("m"), F.sum(F.col("starts").cast("int")).alias("chunks"))
+    p, r = F.col("m") / F.size(candidate), F.col("m") / F.size(reference)
+    score = (1 - 0.5 * F.pow(F.col("chunks") / F.col("m"), 3)) * p * r / (0.9 * p + 0.1 * r)
+    return df.select(key, reference, candidate).join(counted, key, "left").select(key, F.coalesce(score, F.lit(0.0)).alias("meteor"))
+
+
 def meteor_exact(reference: Column, candidate: Column) -> Column:
     """The exact-match stage of METEOR without chunk penalty: recall counts nine times precision."""
     both = F.size(F.array_intersect(reference, candidate)).cast("double")

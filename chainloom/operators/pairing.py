@@ -40,3 +40,8 @@ def pair_chains(df: DataFrame, cell: str, order: str, is_alpha: Column, is_beta:
 def full_outer(alpha: DataFrame, beta: DataFrame, keys: list[str]) -> DataFrame:
     """Alpha and beta rows joined on all keys; blank keys join each other, as values do."""
     return alpha.join(beta, keys, "full_outer")
+
+
+def inner(alpha: DataFrame, beta: DataFrame, keys: list[str]) -> DataFrame:
+    """Alpha and beta rows that have all keys in common."""
+    return alpha.join(beta, keys)

@@ -53,8 +53,7 @@ def _subset_sql(select: str) -> str:
 
 @query("combo_counts", _subset_sql("SELECT combo, count(*) AS n FROM c GROUP BY combo"))
 def combo_counts(spark: SparkSession, d: str) -> DataFrame:
-    exploded = corpus.power_set(order_features(spark, d), "bert", FEATS, skipped={("cust",)})
-    return stats.combo_counts(exploded)
+    return corpus.subset_counts(order_features(spark, d), FEATS, skipped={("cust",)})
 
 
 @query("power_set", _subset_sql("SELECT o_orderkey, combo_id, combo FROM c"))
@@ -99,7 +98,7 @@ ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_returnflag
 def inner_pair(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_quantity", "l_returnflag")
     side = lambda flag, name: li.filter(F.col("l_returnflag") == flag).select("l_orderkey", "l_suppkey", F.col("l_quantity").alias(name))
-    return side("R", "qa").join(side("A", "qb"), ["l_orderkey", "l_suppkey"])
+    return pairing.inner(side("R", "qa"), side("A", "qb"), ["l_orderkey", "l_suppkey"])
 
 
 @query("meta_join", "SELECT l_orderkey, l_linenumber, s_name, n_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey < 3")
@@ -228,12 +227,14 @@ def replace_literal(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "null_tokens",
-    """SELECT p_partkey, replace(replace(replace(replace(replace(replace(p_name || p_type, 'None', ''), 'nan', ''), 'NA', ''), 'N/A', ''), 'na', ''), 'NaN', '') AS compat,
-CASE WHEN p_brand IN ('None', 'nan', 'NA', 'N/A', 'na', 'NaN') THEN '' ELSE p_brand END AS whole FROM part""",
+    """WITH p AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'None' WHEN 1 THEN 'NaN' WHEN 2 THEN 'x NA y' WHEN 3 THEN 'N/A' WHEN 4 THEN 'banana' WHEN 5 THEN '' ELSE p_brand END AS b FROM part)
+SELECT p_partkey, replace(replace(replace(replace(replace(replace(b, 'None', ''), 'nan', ''), 'NA', ''), 'N/A', ''), 'na', ''), 'NaN', '') AS compat,
+CASE WHEN b IN ('None', 'nan', 'NA', 'N/A', 'na', 'NaN') THEN '' ELSE b END AS whole FROM p""",
 )
 def null_tokens_query(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand")
-    return p.select("p_partkey", null_tokens(F.concat("p_name", "p_type"), compat=True).alias("compat"), null_tokens(F.col("p_brand")).alias("whole"))
+    said = F.get(F.array(*map(F.lit, ["None", "NaN", "x NA y", "N/A", "banana", ""])), (F.col("p_partkey") % 8).cast("int"))
+    b = F.coalesce(said, F.col("p_brand"))
+    return table(spark, d, "part", "p_partkey", "p_brand").select("p_partkey", null_tokens(b, compat=True).alias("compat"), null_tokens(b).alias("whole"))
 
 
 @query(
@@ -300,9 +301,13 @@ def filter_protein(spark: SparkSession, d: str) -> DataFrame:
     return p.filter(is_protein(F.col("name")))
 
 
-@query("not_null", "SELECT event_id, event_type FROM events WHERE value IS NOT NULL AND event_type <> 'NA'")
+@query("not_null", "SELECT event_id, event_type FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND value IS NOT NULL")
 def not_null(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").filter(F.col("value").isNotNull() & (F.col("event_type") != "NA")).select("event_id", "event_type")
+    from chainloom.functions.exprs import has_feature
+
+    k = F.col("event_id")
+    e = table(spark, d, "events").withColumns({"value": F.when(k % 5 != 0, F.col("value")), "event_type": F.when(k % 7 == 0, F.when(k % 2 == 0, "NA").otherwise("")).otherwise(F.col("event_type"))})
+    return e.filter(F.col("value").isNotNull() & has_feature(F.col("event_type"))).select("event_id", "event_type")
 
 
 @query("distinct_subset", "SELECT DISTINCT l_returnflag, l_linestatus, l_suppkey FROM lineitem")
@@ -339,6 +344,9 @@ def conditional_prefix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages", "page_id", "url").select("page_id", prefixed(digits(F.col("url"), 2), "CEDAR").alias("study_id"))
 
 
-@query("mhc_pair_split", "SELECT page_id, split_part(url, '/', 3) AS mhc_one, split_part(url, '/', 9) AS mhc_two FROM pages")
+@query("mhc_pair_split", "SELECT c_custkey, c_name AS mhc_one, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS mhc_two FROM customer")
 def mhc_pair_split(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages", "page_id", "url").select("page_id", part(F.col("url"), "/", 3).alias("mhc_one"), part(F.col("url"), "/", 9).alias("mhc_two"))
+    """One part, two parts, and three, of which the third is left out."""
+    k = F.col("c_custkey")
+    said = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.concat_ws("/", "c_name", "c_mktsegment")).otherwise(F.concat_ws("/", "c_name", "c_mktsegment", "c_name"))
+    return table(spark, d, "customer").select("c_custkey", part(said, "/", 1).alias("mhc_one"), part(said, "/", 2).alias("mhc_two"))

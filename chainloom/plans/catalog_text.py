@@ -113,6 +113,21 @@ def allele_resolve(spark: SparkSession, d: str) -> DataFrame:
     return hla.resolve(table(spark, d, "part").select("p_partkey", value.alias("value")), alleles, "value", "mhc_id", "protein")
 
 
+LEGACY_SQL = """WITH a AS (SELECT unnest(['A*01:01', 'A*02:03', 'A*02:101', 'B*07:02']) AS allele),
+v AS (SELECT p_partkey, list_extract(['HLA-B*7:2', 'HLA-A2', 'HLA-B8', 'HLA-DPB1*2:1', 'HLA-DRB1*15:01', 'HLA-DRB1*03', 'HLA-DPB1', 'HLA-E*01:03', 'B*7:2', 'HLA class I', '', NULL], CAST(1 + p_partkey % 12 AS INTEGER)) AS value FROM part),
+k AS (SELECT *, CASE WHEN regexp_matches(value, '^HLA-[ABC][0-9]{1,2}$') THEN substr(value, 5, 1) || '*' || lpad(substr(value, 6), 2, '0') END AS key FROM v)
+SELECT p_partkey, value, CASE WHEN key IS NOT NULL THEN coalesce((SELECT min(allele) FROM a WHERE starts_with(allele, key)), key || ':01')
+ WHEN value IN ('HLA-B*7:2', 'HLA-DPB1*2:1', 'HLA-DRB1*15:01', 'HLA-E*01:03') THEN replace(value, 'HLA-', '') WHEN value = 'HLA-DRB1*03' THEN 'DRB1*03:01' WHEN value = 'HLA-DPB1' THEN 'DPB1*01:01' ELSE value END AS name FROM k"""
+
+
+@query("allele_legacy", LEGACY_SQL)
+def allele_legacy(spark: SparkSession, d: str) -> DataFrame:
+    alleles = spark.createDataFrame([("A*01:01",), ("A*02:03",), ("A*02:101",), ("B*07:02",)], "allele string")
+    values = ["HLA-B*7:2", "HLA-A2", "HLA-B8", "HLA-DPB1*2:1", "HLA-DRB1*15:01", "HLA-DRB1*03", "HLA-DPB1", "HLA-E*01:03", "B*7:2", "HLA class I", ""]
+    value = F.get(F.array(*map(F.lit, values)), (F.col("p_partkey") % 12).cast("int"))
+    return hla.legacy_resolve(table(spark, d, "part").select("p_partkey", value.alias("value")), alleles, "value", "name")
+
+
 @query("allele_two_fields", "SELECT event_id, array_to_string(list_slice(string_split(CAST(ts AS VARCHAR), ':'), 1, 2), ':') AS allele FROM events")
 def allele_two_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events", "event_id", "ts").select("event_id", x.two_fields(F.col("ts").cast("string")).alias("allele"))
@@ -128,10 +143,12 @@ def mhc_restriction_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "json_nav",
-    """SELECT event_id, CAST(coalesce(json_extract_string(props, '$.page'), json_extract_string(props, '$.k'), '') AS VARCHAR) AS page FROM events""",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'p' || CAST(event_id AS VARCHAR) WHEN 1 THEN CAST(json_extract_string(props, '$.k') AS VARCHAR) ELSE '' END AS page FROM events""",
 )
 def json_nav(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events", "event_id", "props").select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.get_json_object("props", "$.k"), F.lit("")).alias("page"))
+    k = F.col("event_id")
+    props = F.when(k % 3 == 0, F.concat(F.lit('{"a": {"page": "p'), k, F.lit('"}, "k": 1}'))).when(k % 3 == 1, F.col("props")).otherwise("{}")
+    return table(spark, d, "events", "event_id", "props").select("event_id", x.json_value(props, "$.a.page", "$.k").alias("page"))
 
 
 @query(

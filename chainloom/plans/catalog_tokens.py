@@ -9,12 +9,14 @@ from chainloom.operators import corpus, masking, metrics, stats, tokens
 from chainloom.plans.catalog_relational import table
 from chainloom.plans.registry import query
 
-# Token arrays for the queries: code points of part names, less 95, so that letters are 2 to 27; the key is p_partkey.
-IDS_SQL = "SELECT p_partkey, list_transform(list_filter(string_split(replace(p_name, ' ', ''), ''), lambda c: c <> ''), lambda c: CAST(ascii(c) - 95 AS INTEGER)) AS ids FROM part"
+# Token arrays for the queries: code points of one to four times a part's name, less 95, so that letters are 2 to 27; the
+# key is p_partkey. Lengths lie on both sides of every limit that the queries set.
+IDS_SQL = "SELECT p_partkey, list_transform(list_filter(string_split(replace(repeat(p_name, 1 + p_partkey % 4), ' ', ''), ''), lambda c: c <> ''), lambda c: CAST(ascii(c) - 95 AS INTEGER)) AS ids FROM part"
 
 
 def ids(spark: SparkSession, d: str) -> DataFrame:
-    chars = F.filter(F.split(F.replace("p_name", F.lit(" "), F.lit("")), ""), lambda c: c != "")
+    name = F.repeat("p_name", (1 + F.col("p_partkey") % 4).cast("int"))
+    chars = F.filter(F.split(F.replace(name, F.lit(" "), F.lit("")), ""), lambda c: c != "")
     return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.transform(chars, lambda c: F.ascii(c) - 95).alias("ids"))
 
 
@@ -77,28 +79,28 @@ def token_totals(spark: SparkSession, d: str) -> DataFrame:
     return stats.token_totals(words)
 
 
-VOCAB = """WITH w AS (SELECT unnest(string_split(p_type, ' ')) AS word FROM part),
+VOCAB = """WITH w AS (SELECT unnest(string_split(p_name || ' ' || p_type, ' ')) AS word FROM part),
 v AS (SELECT word, 2 + row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS id FROM w WHERE word <> '' GROUP BY word QUALIFY row_number() OVER (ORDER BY count(*) DESC, word) <= 10)"""
 
 
 @query(
     "vocab_encode",
-    f"""{VOCAB}, t AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part)
+    f"""{VOCAB}, t AS (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_type, ' ')) AS word, generate_subscripts(string_split(p_name || ' ' || p_type, ' '), 1) AS i FROM part)
 SELECT p_partkey, string_agg(CAST(coalesce(v.id, 1) AS VARCHAR), ' ' ORDER BY i) AS ids FROM t LEFT JOIN v ON v.word = t.word GROUP BY p_partkey""",
 )
 def vocab_encode(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part", "p_partkey", "p_type")
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_type").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("p_type"))
     vocab = tokens.vocabulary(p, F.col("p_type"), 12, [tokens.PAD, tokens.UNK])
     return p.select("p_partkey", text(tokens.encode(F.col("p_type"), tokens.vocabulary_map(vocab), vocab[tokens.UNK])).alias("ids"))
 
 
 @query(
     "token_decode",
-    f"""{VOCAB}, t AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part)
+    f"""{VOCAB}, t AS (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_type, ' ')) AS word, generate_subscripts(string_split(p_name || ' ' || p_type, ' '), 1) AS i FROM part)
 SELECT p_partkey, string_agg(coalesce(v.word, '[UNK]'), ' ' ORDER BY i) AS text FROM t LEFT JOIN v ON v.word = t.word GROUP BY p_partkey""",
 )
 def token_decode(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part", "p_partkey", "p_type")
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_type").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("p_type"))
     vocab = tokens.vocabulary(p, F.col("p_type"), 12, [tokens.PAD, tokens.UNK])
     words = tokens.vocabulary_map(vocab)
     return p.select("p_partkey", tokens.decode(tokens.encode(F.col("p_type"), words, vocab[tokens.UNK]), tokens.inverted(words)).alias("text"))
@@ -252,9 +254,8 @@ def perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("weighted_loss", "SELECT l_returnflag AS split, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS loss FROM lineitem GROUP BY l_returnflag")
 def weighted_loss(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem", "l_returnflag", "l_discount", "l_quantity")
-    loss = F.try_divide(F.sum(F.col("l_discount") * F.col("l_quantity")), F.sum("l_quantity"))
-    return li.groupBy(F.col("l_returnflag").alias("split")).agg(F.round(loss, 9).alias("loss"))
+    li = table(spark, d, "lineitem", "l_returnflag", "l_discount", "l_quantity").withColumnRenamed("l_returnflag", "split")
+    return metrics.perplexity(li, F.col("l_discount"), F.col("l_quantity"), by=["split"]).select("split", F.round("loss", 9).alias("loss"))
 
 
 @query("accuracy_by_group", "SELECT toxic, count(*) FILTER (WHERE quality = p) AS correct, count(*) AS total, round(CAST(count(*) FILTER (WHERE quality = p) AS DOUBLE) / count(*), 9) AS accuracy FROM (SELECT toxic, quality, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS p FROM labels) GROUP BY toxic")
@@ -292,7 +293,26 @@ def bleu(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bleu(texts(spark, d), F.col("r"), F.col("c")).select(F.round("bleu", 9).alias("bleu"))
 
 
-@query("rouge_l")
+METEOR_SQL = """WITH w AS (SELECT item_id, string_split(text, ' ') AS r, list_filter(string_split(text, ' '), lambda x, i: i % 7 <> 3 OR i < 5) AS c FROM benchmark),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, w ORDER BY i DESC) AS n FROM (SELECT item_id, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM w)),
+c AS (SELECT *, row_number() OVER (PARTITION BY item_id, w ORDER BY j DESC) AS n FROM (SELECT item_id, unnest(c) AS w, generate_subscripts(c, 1) AS j FROM w)),
+m AS (SELECT item_id, i, j, lag(i) OVER p AS pi, lag(j) OVER p AS pj FROM r JOIN c USING (item_id, w, n) WINDOW p AS (PARTITION BY item_id ORDER BY j)),
+k AS (SELECT item_id, count(*) AS m, count(*) FILTER (WHERE pi IS NULL OR i <> pi + 1 OR j <> pj + 1) AS chunks FROM m GROUP BY item_id)
+SELECT item_id, round(coalesce((1 - 0.5 * pow(CAST(chunks AS DOUBLE) / m, 3)) * (CAST(m AS DOUBLE) / len(c)) * (CAST(m AS DOUBLE) / len(r)) / (0.9 * m / len(c) + 0.1 * m / len(r)), 0), 9) AS meteor FROM w LEFT JOIN k USING (item_id)"""
+
+
+@query("meteor", METEOR_SQL)
+def meteor(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.meteor(texts(spark, d), "item_id", "r", "c").select("item_id", F.round("meteor", 9).alias("meteor"))
+
+
+ROUGE_SQL = """WITH RECURSIVE w AS (SELECT item_id, string_split(text, ' ') AS r, list_filter(string_split(text, ' '), lambda x, i: i % 7 <> 3 OR i < 5) AS c FROM benchmark),
+s(item_id, r, c, i, line) AS (SELECT item_id, r, c, 0, list_transform(range(len(c) + 1), lambda x: 0) FROM w
+UNION ALL SELECT item_id, r, c, i + 1, list_reduce(range(1, len(c) + 1), lambda acc, j: list_append(acc, CASE WHEN r[i + 1] = c[j] THEN line[j] + 1 ELSE greatest(line[j + 1], acc[j]) END), [0]) FROM s WHERE i < len(r))
+SELECT item_id, round(CASE WHEN line[len(c) + 1] = 0 THEN 0 ELSE 2.0 * line[len(c) + 1] / (len(r) + len(c)) END, 9) AS rouge_l FROM s WHERE i = len(r)"""
+
+
+@query("rouge_l", ROUGE_SQL)
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("item_id", F.round(metrics.rouge_l()(F.col("r"), F.col("c")), 9).alias("rouge_l"))
 
