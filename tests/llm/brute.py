@@ -87,3 +87,49 @@ def unigram(rows, held):
         w = [*words(t), None]
         out[d] = (len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
     return out
+
+
+def disclosed(texts, context, letters, generalise, remove):
+    """Index of a text to its disclosing spans (start, end, action) by the definition, all texts looked through."""
+    spans = [base_spans(t) for t in texts]
+    held, near, near_at = collections.defaultdict(set), collections.defaultdict(set), []
+    for i, t in enumerate(texts):
+        found = set()
+        for a, k, b in spans[i]:
+            value = t[a:b]
+            for e in ((k,), (k, value)):
+                held[e].add(t)
+            for m in re.finditer(r"[^\W\d_]+", t):
+                inside = a - context <= m.start() and m.end() <= a or b <= m.start() and m.end() <= b + context
+                whole = len(m.group()) >= letters and not any(x < m.end() and y > m.start() for x, _, y in spans[i])
+                if inside and whole:
+                    found.add((m.group().lower(), k, m.start(), m.end()))
+                    for e in ((k,), (k, value)):
+                        near[m.group().lower(), e].add(t)
+        near_at.append(found)
+    every = set(texts)
+    seen = collections.Counter(w for t in every for w in {m.lower() for m in re.findall(r"[^\W\d_]+", t)})
+    action = {}
+    for (w, e), there in near.items():
+        content = math.log2(len(every) / len(held[e]))
+        if len(there) > 1 and content:
+            share = math.log2((len(there) - 1) / seen[w] * len(every) / len(held[e])) / content
+            if share >= generalise:
+                action[w, e] = "remove" if share >= remove else "generalise"
+    out = []
+    for i, t in enumerate(texts):
+        got = {}
+
+        def add(a, b, what, got=got):
+            got[a, b] = max(got.get((a, b), ""), what)
+
+        for w, k, a, b in near_at[i]:
+            if (w, (k,)) in action:
+                add(a, b, action[w, (k,)])
+        for m in re.finditer(r"[^\W\d_]+", t):
+            if not any(x < m.end() and y > m.start() for x, _, y in spans[i]):
+                for e in {(k, t[a:b]) for a, k, b in spans[i]}:
+                    if (m.group().lower(), e) in action:
+                        add(m.start(), m.end(), action[m.group().lower(), e])
+        out.append({(a, b, w) for (a, b), w in got.items()})
+    return out
