@@ -35,12 +35,25 @@ def test_token_counts_of_odd_rows(odd):
     assert token_counts.count_tokens(odd.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
-def test_emptied_table(monkeypatch):
-    monkeypatch.setattr(token_counts, "KEPT", 6)
-    encoder = token_counts.Encoder(vocabulary("byte_bpe_50k.json"))
-    text = " ".join(f"word{i}" for i in range(50))
-    whole = len(encoder.tok.encode(text).ids)
-    assert [encoder.count(text), encoder.count(text)] == [whole, whole]
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"])
+@pytest.mark.parametrize("window", [token_counts.WINDOW, 64])
+def test_counts_of_random_texts(monkeypatch, name, window):
+    """Against the library on whole texts: white space of all kinds, long texts, and texts without a safe boundary."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_counts, "WINDOW", window)
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 200)
+    encoder = token_counts.Encoder(vocabulary(name))
+    assert encoder.splits == (name != "word_bpe_49k.json")
+    rng = random.Random(8)
+    signs = ["a", "b", " ", " ", "  ", "'s", "é", "ß", "日", "\xa0", "\x85", "\u2003", "\u3000", "\n", "\t", "\x1c", "\x0b", "<|endoftext|>", "1", ".", "\U0001f600", "\u0301", "Σ", "\u2581"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += [None, "", " ", "x" * 3000, "word and " * 200, " a", "a ", "é é\xa0é"]
+    length = (lambda t: len(encoder.tok.encode(t, add_special_tokens=False).ids)) if name.endswith("json") else (lambda t: len(encoder.tok.encode(t)))
+    wanted = [length(t or "") for t in texts]
+    assert encoder.counts(pa.array(texts)).tolist() == wanted
+    assert encoder.counts(pa.array(texts).slice(100, 1000)).tolist() == wanted[100:1100]
+    assert encoder.counts(pa.array([], pa.string())).tolist() == []
 
 
 # packing
