@@ -8,8 +8,10 @@ closing CRLF CRLF and, where it carries a digest of its block, a matching SHA-25
 searches for the next version line or gzip member that passes, goes on there, and logs the bytes between as quarantined.
 
 Defined results: a null html is an empty payload; the response among equal payloads is the row with the smallest
-page_id, and rows that repeat that page_id with that payload are responses too; a null page_id sorts last; an empty
-table gives no rows; other columns are ignored.
+page_id, and rows that repeat that page_id with that payload are responses too; a null page_id comes after all others, so
+it revisits the smallest id of an equal payload, and is a response where there is none; a very long html is a record in an
+archive of its own; an empty table gives no rows; other columns are ignored. The tables tell no time of a crawl: WARC-Date,
+which a record must have, is a parameter.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from chainloom.llm.common import Workspace
 
 LEAST_REVISIT = 100  # bytes of a payload that is worth a revisit record
 ROWS_PER_FILE = 2048
-FILE_BYTES = 512 << 20  # payload bytes of an archive at most, or one row
+FILE_BYTES = 128 << 20  # payload bytes of an archive at most, or one row
 OUT_BYTES = 8 << 20
+DATE = "1970-01-01T00:00:00Z"
 BROADCAST_REVISITS = 200_000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
@@ -38,11 +41,12 @@ GZIP = b"\x1f\x8b\x08"
 READ = "kind string, path string, at long, size long, reason string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
-def headers(record_type: str) -> list[tuple[str, str]]:
+def headers(record_type: str, date: str) -> list[tuple[str, str]]:
     """Header names and the SQL expressions of their values."""
     revisit = record_type == "revisit"
     return [
         ("WARC-Type", f"'{record_type}'"),
+        ("WARC-Date", f"'{date}'"),
         ("WARC-Record-ID", "concat('<urn:page:', coalesce(cast(page_id as string), ''), '>')"),
         ("WARC-Target-URI", "regexp_replace(coalesce(url, ''), '[\\\\r\\\\n]', ' ')"),
         ("WARC-Payload-Digest", "concat('sha256:', digest)"),
@@ -52,7 +56,7 @@ def headers(record_type: str) -> list[tuple[str, str]]:
     ]
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
+def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     """Archives under path, each payload of at least LEAST_REVISIT bytes once and then revisits of it.
 
     What is equal is found on digests and sizes alone. Revisits are few against pages: up to BROADCAST_REVISITS of them,
@@ -63,13 +67,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     keys = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "digest")
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "refers_to")
-    revisits = keys.join(firsts, "digest").filter("page_id <> refers_to").select(F.col("page_id").alias("again"), F.col("digest").alias("of"), "refers_to").distinct()
+    revisits = keys.join(firsts, "digest").filter("refers_to IS NOT NULL AND NOT page_id <=> refers_to").select(F.col("page_id").alias("again"), F.col("digest").alias("of"), "refers_to").distinct()
     revisits = Workspace(pages.sparkSession, "revisits").table(revisits, "revisits")
     revisits = F.broadcast(revisits) if revisits.count() <= BROADCAST_REVISITS else revisits
-    told = rows.join(revisits, (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("of")), "left")
+    told = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("of")), "left")
 
     def record(kind: str) -> str:
-        lines = ", ".join(f"'{name}: ', {value}, '\\r\\n'" for name, value in headers(kind))
+        lines = ", ".join(f"'{name}: ', {value}, '\\r\\n'" for name, value in headers(kind, date))
         return f"concat('WARC/1.1\\r\\n', {lines}, '\\r\\n'{', payload' if kind == 'response' else ''}, '\\r\\n')"
 
     largest = rows.agg(F.max(F.octet_length("payload"))).first()[0] or 1
@@ -191,7 +195,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), work.path("archives"))
     columns = ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes"]
-    found = work.table(read_archives(spark, work.path("archives")).filter("kind = 'record'").select(*columns), "records")
+    found = work.table(read_archives(spark, work.path("archives")).select("kind", *columns), "records")
+    if gaps := found.filter("kind = 'gap'").count():  # what this query wrote itself has to be whole
+        raise ValueError(f"{gaps} stretches of the archives can't be read")
     #: A revisit's size is that of the response it names; those responses have one row for each page_id.
     sizes = found.filter("record_type = 'response'").groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("full"))
     of = (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("digest"))
@@ -205,7 +211,7 @@ WITH p AS (
   SELECT *, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
 )
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM d
 """

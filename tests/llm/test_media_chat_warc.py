@@ -43,6 +43,23 @@ def test_all_filters():
     assert (media.read_png(filtered_png(rows, [i % 5 for i in range(23)])) == rows).all()
 
 
+def test_writer_uses_filters():
+    """Text, ramps and noise get other filters, and come back; the sizes of runs don't matter."""
+    rng = np.random.default_rng(2)
+    text = b"the quick brown fox jumps over the lazy dog, " * 64
+    ramp = (np.arange(24 * 48) // 24 * 3 % 256).astype(np.uint8).tobytes()
+    noise = rng.integers(-3, 4, 576).astype(np.uint8).tobytes()
+    payload = text + ramp + noise * 2 + text
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, 24)
+    kinds = media.filtered(rows, 24)[:, 0]
+    assert set(kinds.tolist()) == {0, 1, 2}
+    assert (media.unfilter(kinds, media.filtered(rows, 24)[:, 1:]) == rows).all()
+    assert media.read_png(media.write_png(payload)).tobytes() == payload
+    one = rng.integers(0, 256, (3, 1)).astype(np.uint8)
+    for kinds in ([3, 4, 3], [4, 4, 4], [2, 1, 3]):
+        assert (media.read_png(filtered_png(one, kinds)) == one).all()
+
+
 def test_round_trip():
     for payload in (b"\xff" * 576, bytes(range(256)) * 9, b"text " * 4608):
         assert media.read_png(media.write_png(payload)).tobytes() == payload
@@ -203,10 +220,11 @@ def test_archives_on_disk(spark, tmp_path):
 def test_pages_with_odd_rows(spark, tmp_path):
     long = "é<html>" * 40
     rows = [(3, "u", long), (1, "u\r\nWARC/1.1", long), (2, None, "short"), (4, "u", "short"), (None, "u", "x" * 200), (6, "u", None), (7, "u", ""), (8, "u", "WARC/1.1\r\n\r\n" * 30), (1, "u", long)]
+    rows += [(None, "u", "y" * 150), (9, "u", "y" * 150), (None, "v", "y" * 150), (None, "u", "x" * 200), (10, "u", "z" * 3_000_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     df.write.parquet(str(tmp_path / "pages.parquet"))
     got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op6_warc(spark, str(tmp_path)).collect()), key=repr)
     n = len(long.encode())
-    assert got == sorted([(3, n, "revisit", 1), (1, n, "response", None), (1, n, "response", None), (2, 5, "response", None), (4, 5, "response", None), (0, 200, "response", None), (6, 0, "response", None), (7, 0, "response", None), (8, 360, "response", None)], key=repr)
+    assert got == sorted([(3, n, "revisit", 1), (1, n, "response", None), (1, n, "response", None), (2, 5, "response", None), (4, 5, "response", None), (0, 200, "response", None), (6, 0, "response", None), (7, 0, "response", None), (8, 360, "response", None), (9, 150, "response", None), (0, 150, "revisit", 9), (0, 150, "revisit", 9), (0, 200, "response", None), (10, 3_000_000, "response", None)], key=repr)
     df.limit(0).write.mode("overwrite").parquet(str(tmp_path / "pages.parquet"))
     assert warc.op6_warc(spark, str(tmp_path)).count() == 0
