@@ -24,9 +24,11 @@ BATCH_BYTES = 8 << 20  # of an Arrow batch that goes to a Python worker, one row
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a session that names none (tests) gets one of its own."""
+    """The folder all executors share; a local session that names none (tests) gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='chainloom-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -377,3 +377,28 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir), width=4)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(list_slice(words, i, i + 3), ' ')))) END AS shingles FROM w
+), p AS (
+  SELECT doc_id, shingles, CAST(len(shingles) AS BIGINT) AS n, md5(array_to_string(shingles, chr(10))) AS print FROM s
+), r AS (
+  SELECT print, min(doc_id) AS node, any_value(n) AS n, any_value(shingles) AS shingles FROM p WHERE n > 0 GROUP BY print
+), e AS (
+  SELECT node, n, unnest(shingles) AS shingle FROM r
+), l AS (
+  SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.node <> b.node AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), t(a, b) AS (
+  SELECT a, a FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a
+), c AS (
+  SELECT a AS node, min(b) AS component FROM t GROUP BY a
+)
+SELECT p.doc_id, p.n AS n_shingles, coalesce(c.component, r.node, p.doc_id) AS component_id, coalesce(c.component, r.node, p.doc_id) = p.doc_id AS kept
+FROM p LEFT JOIN r ON r.print = p.print AND p.n > 0 LEFT JOIN c ON c.node = r.node
+"""

@@ -11,7 +11,7 @@ from chainloom.llm.class_lm import op10_class_lm
 from chainloom.llm.decontam import op7_decontam
 from chainloom.llm.language_id import op2_language_id
 from chainloom.llm.media_columns import op3_media_columns
-from chainloom.llm.minhash_dedup import op1_minhash_dedup
+from chainloom.llm.minhash_dedup import OP1_SQL, op1_minhash_dedup
 from chainloom.llm.packing import op8_packing
 from chainloom.llm.pii import op5_pii
 from chainloom.llm.token_counts import op9_token_counts
@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_dedup": OP1_SQL,
         "op4_chat_format": OP4_SQL,
         "op6_warc": OP6_SQL,
     }

@@ -133,3 +133,65 @@ def disclosed(texts, context, letters, generalise, remove):
                         add(m.start(), m.end(), action[m.group().lower(), e])
         out.append({(a, b, w) for (a, b), w in got.items()})
     return out
+
+
+UNITS = set("mm cm m km inch inches ft feet foot yard yards mile miles g kg mg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent degree degrees kmh mph w kw kwh v volt volts".split())
+
+
+def template(text):
+    """(kind, lower-cased word) of each word: number, unit, name, or the word itself."""
+    out, last = [], None
+    for m in re.finditer(r"[A-Za-z0-9\u0080-\U0010ffff]+", text or ""):
+        word, low = m.group(), m.group().lower()
+        kind = low
+        if re.fullmatch("[0-9]+[a-z]{0,2}", low):
+            kind = 1
+        elif low in UNITS:
+            kind = 2
+        elif last is not None and "A" <= word[0] <= "Z" and len(word) > 1 and ("a" <= word[1] <= "z" or word[1] > "\x7f") and not set(text[last : m.start()]) & set('.!?:;\n"'):
+            kind = 3
+        out.append((kind, low))
+        last = m.end()
+    return out
+
+
+def one_to_one(pairs):
+    there, back = {}, {}
+    return all(there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in pairs)
+
+
+def leak(item, doc, m):
+    """(windows, of_windows) of an item's best alignment with a document that is a leak, or None. m: the operator's bounds."""
+    width = min(m.WINDOW, len(item))
+    n = len(item) - width + 1
+    if not width or len(doc) < width or width < m.ANYWHERE and len(doc) > width:
+        return None
+    kinds, words = [k for k, _ in item], [w for _, w in item]
+    dk, dw = [k for k, _ in doc], [w for _, w in doc]
+    plain = lambda a: sum(isinstance(k, str) for k in kinds[a : a + width])
+    tells = [a for a in range(n) if width >= m.SHORTEST and plain(a) >= min(m.PLAIN, width)]
+    best = None
+    for shift in range(-n + 1, len(doc) - width + 1):
+        inside = [a for a in range(n) if 0 <= a + shift <= len(doc) - width]
+        equal = [a for a in inside if words[a : a + width] == dw[a + shift : a + shift + width]]
+        alike = [a for a in inside if kinds[a : a + width] == dk[a + shift : a + shift + width]]
+        slots = lambda a, b, shift=shift: [(words[i], dw[i + shift]) for i in range(a, b) if not isinstance(kinds[i], str)]
+        found = None
+        both = sorted({*equal, *alike})
+        told = [a for a in both if a in tells]
+        if len(equal) >= min(m.LEAST_WINDOWS, m.LEAST_SHARE * n):
+            found = len(equal), n
+        elif width < m.SHORTEST:
+            pass
+        elif len(both) == n and len(tells) < n and one_to_one(slots(0, len(item))) and sum(isinstance(k, str) for k in kinds) >= m.PLAIN_ITEM:
+            found = n, n
+        elif told and len(told) >= min(m.LEAST_WINDOWS, m.LEAST_SHARE * len(tells)):
+            if one_to_one(slots(told[0], told[-1] + width)):
+                found = len(told), len(tells)
+            else:
+                runs = [j - i + 1 for i in range(len(told)) for j in range(i, len(told)) if one_to_one(slots(told[i], told[j] + width))]
+                if max(runs, default=0) >= 2 * m.LEAST_WINDOWS:
+                    found = max(runs), len(tells)
+        if found and (best is None or found[0] > best[0]):
+            best = found
+    return best
