@@ -62,8 +62,16 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) & ~(GROUPS - 1) | zlib.crc32(word[-2:]) % GROUPS
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some texts, one after the other, and each text's number of them. Equal words are hashed once."""
+class Split(NamedTuple):
+    """Words of some texts: hashes of different ones, each word's place among them, and each text's number of words."""
+
+    once: np.ndarray
+    code: np.ndarray
+    sizes: np.ndarray
+
+
+def split_words(texts: pa.Array) -> Split:
+    """The words of some texts, one after the other. Equal words are hashed once."""
     low = pc.ascii_lower(texts.cast(pa.large_string()).fill_null(""))
     split = pc.ascii_split_whitespace(low)
     ends = split.offsets.to_numpy().astype(np.int64)
@@ -73,19 +81,22 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     word = np.fromiter(map(len, once), np.int64, len(once)) > 0  # white space at a text's ends leaves empty strings
     real = word[code]
     below = np.concatenate([[0], np.cumsum(real)])
-    return np.fromiter(map(word_hash, once), np.uint64, len(once))[code[real]], np.diff(below[ends - ends[0]])
+    return Split(np.fromiter(map(word_hash, once), np.uint64, len(once)), code[real], np.diff(below[ends - ends[0]]))
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array) -> Split:
     """The same for texts of any length: those of an array above PIECE bytes are split piece by piece."""
     if texts.nbytes <= PIECE:
         return split_words(texts)
-    hashes, sizes = [], []
+    parts, sizes, before = [], [], 0
     for blob in as_bytes(texts):
-        parts = [split_words(pa.array([part.decode()]))[0] for part in segments(blob, PIECE)]
-        hashes += parts
-        sizes.append(sum(map(len, parts)))
-    return np.concatenate(hashes), np.array(sizes, np.int64)
+        sizes.append(0)
+        for part in segments(blob, PIECE):
+            own = split_words(pa.array([part.decode()]))
+            parts.append((own.once, own.code + before))
+            sizes[-1] += len(own.code)
+            before += len(own.once)
+    return Split(*(np.concatenate(x) for x in zip(*parts, strict=True)), np.array(sizes, np.int64))
 
 
 class Summed:
@@ -94,8 +105,7 @@ class Summed:
     def __init__(self) -> None:
         self.keys, self.counts, self.size = [], [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        keys, counts = np.unique(keys, return_counts=True)
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys.append(keys)
         self.counts.append(counts)
         self.size += len(keys)
@@ -119,7 +129,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             ends += batch.num_rows
-            sums.add(words_of(batch.column(0))[0])
+            words = words_of(batch.column(0))
+            n = np.bincount(words.code, minlength=len(words.once))
+            sums.add(words.once[n > 0], n[n > 0])
             if sums.size > FLUSH:  # what one task holds is bounded; the shuffle adds up the rest
                 yield out()
                 sums = Summed()
@@ -191,11 +203,11 @@ def coded(docs: DataFrame, table: Callable[[], Table]) -> DataFrame:
         known = table()
         binary = lambda x, ends: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]).cast(pa.binary())
         for batch in batches:
-            h, sizes = words_of(batch.column(batch.num_columns - 1))
-            items = known.items(h, group_of(h)).astype(np.int32)
+            words = words_of(batch.column(batch.num_columns - 1))
+            items = known.items(words.once, group_of(words.once)).astype(np.int32)[words.code]
             rare = is_rare(items)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binary(items, ends), binary(h[rare], np.concatenate([[0], np.cumsum(rare)])[ends])], names=names)
+            ends = np.concatenate([[0], np.cumsum(words.sizes)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binary(items, ends), binary(words.once[words.code[rare]], np.concatenate([[0], np.cumsum(rare)])[ends])], names=names)
         give_back()
 
     names = [*docs.columns[:-1], "items", "rare"]

@@ -141,12 +141,13 @@ def test_words_of_texts(monkeypatch, piece):
 
     monkeypatch.setattr(lm, "PIECE", piece)
     texts = ["A b\xa0C\u2003d \x1ce\x85", None, "", "  \t\n\x0b\x0c\r", "x " * 3000 + "\xc9t\xe9 \u0130", " B"]
-    h, sizes = lm.words_of(pa.array(texts))
+    got = lm.words_of(pa.array(texts))
+    h, sizes = got.once[got.code], got.sizes
     words = [(t or "").encode().lower().split() for t in texts]
     assert sizes.tolist() == [len(w) for w in words]
     assert h.tolist() == [lm.word_hash(x) for w in words for x in w]
     part = pa.array(texts).slice(3, 2)
-    assert lm.words_of(part)[1].tolist() == [len(w) for w in words[3:5]]
+    assert lm.words_of(part).sizes.tolist() == [len(w) for w in words[3:5]]
 
 
 def test_classes_grow_with_the_vocabulary(spark, docs):
