@@ -200,15 +200,16 @@ def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 DEALT = ["hub", "lo", "hi", "side", "node", "component", "n", *SIGNATURE]
 
 
-def deal(members: DataFrame, sketch_of: DataFrame, block: int) -> DataFrame:
+def deal(members: DataFrame, sketch_of: DataFrame, block: int, work: Workspace, name: str) -> DataFrame:
     """Rows of DEALT: members (hub, node, component) in pairs of blocks, so that pairs of different components meet.
 
-    Members of a hub's largest component meet those of the others only; hubs of one component have no rows.
+    Members of a hub's largest component meet those of the others only; hubs of one component have no rows. There is a row
+    of sizes for each hub with several, which goes to the members, so that a large hub's don't go to one task.
     """
     sizes = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.groupBy("hub").agg(F.sum("size").alias("total"), F.max(F.struct("size", (-F.col("component")).alias("minus"))).alias("top"))
     sizes = sizes.filter(F.col("total") > F.col("top.size")).select("hub", (-F.col("top.minus")).alias("main"), F.ceil((F.col("total") - F.col("top.size")) / block).cast("int").alias("others"), F.ceil(F.col("top.size") / block).cast("int").alias("mains"))
-    rows, place = members.join(sizes, "hub"), F.xxhash64("node")
+    rows, place = members.join(sized(work.table(sizes, f"{name}-sizes")), "hub"), F.xxhash64("node")
     inside = F.col("component") == F.col("main")
     rows = rows.withColumn("side", F.when(inside, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
@@ -351,9 +352,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = LIMIT) -
     around = buckets.join(hubs, "key").select(F.col("b").alias("hub"), "node").distinct()
     named = around.join(tied, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
     named = work.table(named, "named")
-    left = work.table(open_members(deal(named, sketch_of, SKETCHED), limit), "open")
+    left = work.table(open_members(deal(named, sketch_of, SKETCHED, work, "sketched"), limit), "open")
     full = full_sets(left.select(F.col("node").alias("doc_id")).distinct(), docs, width)
-    open_rows = deal(named.join(left, ["hub", "node"]), sketch_of, BLOCK).join(full, "node").select(*DEALT, "shingles")
+    open_rows = deal(named.join(left, ["hub", "node"]), sketch_of, BLOCK, work, "whole").join(full, "node").select(*DEALT, "shingles")
     more = work.table(search_blocks(open_rows, limit), "more")
     final = work.table(components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), work, "last"), "final")
 
