@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainloom.functions.exprs import chain_all, chain_entries, chain_last, chain_malformed, chain_zipped, contains_any, joined_sequence, longest_lower, null_tokens
 from chainloom.functions.schema import MRI, SEQUENCE, canonical, empty, or_blank, quoted
 from chainloom.operators.pairing import pair_arrays, pair_chains
+from chainloom.sources.scratch import scratch
 
 ROW = "_row"
 
@@ -232,10 +233,31 @@ def parse_layout(df: DataFrame, layout: Layout, annotations: dict[str, str | Col
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds the ordinal, in file order as long as the file is read in one piece or its pieces in order."""
+    """Adds the ordinal, in file order as long as the file is read in one piece or its pieces in order; with gaps between pieces."""
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def shows_places(layout: Layout, columns: list[str]) -> bool:
+    """Whether the layout's rows are named by their ordinals, so that these mustn't have gaps."""
+    return layout.chain == "zipped" or (layout.chain == "clonotypes" and not {"barcode", "clonotype_id"} & set(columns))
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """Adds the ordinal without gaps, from 0, in as many pieces as the file is read in.
+
+    Pieces' sizes are summed up, so no task counts all rows. The rows are written to the shared folder, as another scan
+    of the file may be cut into other pieces.
+    """
+    at = f"{scratch(df.sparkSession, 'placed')}/rows"
+    numbered(df).write.parquet(at)
+    rows, piece = df.sparkSession.read.parquet(at), F.shiftright(ROW, 33)  # an ordinal with gaps holds the piece above 33 bits
+    sizes = rows.groupBy(piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    rows = rows.join(F.broadcast(sizes), piece == F.col("_piece"))  # a row for each piece
+    return rows.withColumn(ROW, F.col(ROW).bitwiseAND((1 << 33) - 1) + F.col("_before")).drop("_piece", "_before")
+
+
 def chain_table(df: DataFrame, column: str) -> DataFrame:
     """A row for each entry of a chain string: the flattened form of it."""
     return df.select(*df.columns, F.explode(chain_entries(F.col(column))).alias("entry")).select(*df.columns, "entry.chain", "entry.seq")

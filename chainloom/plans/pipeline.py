@@ -9,10 +9,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.functions.schema import FEATURES, or_blank
+from chainloom.functions.schema import FEATURES, or_blank, quoted
 from chainloom.operators import corpus, tokens
 from chainloom.plans import databases as db
-from chainloom.plans.formats import BULK, MISC, numbered, paired_layout, parse_layout, recognise
+from chainloom.plans.formats import BULK, MISC, numbered, paired_layout, parse_layout, placed, recognise, shows_places
 from chainloom.sources.delimited import from_path, read_detected, read_fasta
 from chainloom.sources.sinks import exists, write_pair, write_splits
 
@@ -71,7 +71,7 @@ def parse_file(spark: SparkSession, path: str, kind: str, exact: dict[str, set[s
     origin = {k: v for k, v in from_path(path).items() if k != "file_type"}
     file_type = path.rstrip("/").split("/")[-2]
     layout = paired_layout(file_type) if kind == "paired" else recognise(df.columns, BULK if kind == "bulk" else MISC, exact)
-    rows = numbered(df)
+    rows = placed(df.select(*map(quoted, layout.required))) if shows_places(layout, df.columns) else numbered(df)
     rows = corpus.sampled(rows) if test else rows
     return parse_layout(rows, layout, origin)
 

@@ -180,3 +180,20 @@ def test_flattened_chain_string(spark):
     assert [(r.chain, r.seq) for r in f.chain_table(df, "s").collect()] == [("TRA", "a"), ("TRB", "b")]
     assert f.sequence_text(df.withColumn("tra", F.lit("CA"))).first().sequence == "CA;"
     assert [t.count() for t in f.no_rows(df)] == [0, 0]
+
+
+@pytest.mark.parametrize(("kind", "file_type", "named"), [("misc", "misc", "{}"), ("paired", "clonotypes", "row_index_{}")])
+def test_rows_of_a_file_read_in_pieces_are_numbered_without_gaps(spark, tmp_path, kind, file_type, named):
+    folder = tmp_path / "cat" / "study" / "rna" / file_type
+    folder.mkdir(parents=True)
+    head, rows = "cdr3s_nt\tcdr3s_aa\tother (x)\n", [f"TRA:n\tTRA:CA{i}\t\n" for i in range(300)]
+    (folder / "rep4.tsv").write_text(head + "".join(rows))
+    with_small_pieces = {"spark.sql.files.maxPartitionBytes": "512", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in with_small_pieces.items():
+        spark.conf.set(k, v)
+    try:
+        got = parse_file(spark, str(folder / "rep4.tsv"), kind)[0].select("tid", "tra").collect()
+    finally:
+        for k in with_small_pieces:
+            spark.conf.unset(k)
+    assert sorted((r.tid, r.tra) for r in got) == sorted((named.format(i), f"CA{i}") for i in range(300))
