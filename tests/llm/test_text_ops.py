@@ -407,3 +407,31 @@ def test_unlearned_languages_are_rejected(docs, languages):
     accepted = language_id.predicted(model, F.col("text"))["accepted"]
     assert docs(*enumerate(foreign), clash=False).filter(accepted).count() == 0
     assert df.filter(accepted).count() >= 0.99 * len(rows)
+
+
+def test_language_is_learned_from_all_rows(docs, monkeypatch):
+    """Beyond the sample every row counts once, in sums and limits, however rows are dealt out or repeated."""
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 20)
+    monkeypatch.setattr(language_id, "REJECTED", 20)
+    rng = random.Random(3)
+    rows = labelled(900) + [(5000 + i, tongue(rng, ["zqxj", "vvkw", "qqpz", "jjxq"], 20), "en", "s") for i in range(40)]
+    df = docs(*rows)
+    model = language_id.fit(df, F.lit(True))
+    known = language_id.labelled(df, F.lit(True))
+    assert not known.whole() and not known.repeated
+    total = np.zeros((language_id.BUCKETS, 3))
+    for r in known.rows.filter(~known.calibrates()).collect():
+        c = language_id.counts(r.text)
+        total[:, model.languages.index(r.lang)] += c / c.sum()
+    assert 800 < total.sum() < 890
+    assert model.typical == pytest.approx(language_id.log_shares(total), abs=1e-4)
+    odd = docs(*((i, tongue(rng, ["zqxj", "vvkw", "qqpz", "jjxq"], 20), "de", "s") for i in range(9)))
+    assert {r[0] for r in odd.select(language_id.predicted(model, F.col("text"))["lang_pred"]).collect()} == {"en"}
+    held = sorted(r[0] for r in known.rows.filter(known.calibrates()).select(language_id.predicted(model, F.col("text"))["score"]).collect())
+    assert len(held) >= 2 * 20
+    assert model.rejecting == pytest.approx(held[len(held) // 40], abs=1e-6)
+    for other in (docs(*rows).repartition(7).sortWithinPartitions("lang"), docs(*sorted(rows, key=lambda r: r[2])).coalesce(1), docs(*rows, *rows)):
+        again = language_id.fit(other, F.lit(True))
+        assert again.table == pytest.approx(model.table, abs=1e-3)
+        assert again[4] == pytest.approx(model.rejecting, abs=1e-4)
+        assert again.typical == pytest.approx(model.typical, abs=1e-4)
