@@ -22,6 +22,12 @@ from pyspark.sql import functions as F
 SEGMENT = 1 << 20  # bytes of a text that are split into words at a time
 BATCH_BYTES = 8 << 20  # of an Arrow batch that goes to a Python worker, one row at least
 
+#: How intermediate tables are written. Without its native library, Hadoop's local file system starts a program for each
+#: file and folder that it makes, also for markers of success and for files of checksums, and each start holds the whole
+#: memory of the JVM for a moment. Nothing reads such a marker, and Parquet has checksums of its own, verified on reading.
+PLAIN = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local session that names none (tests) gets one of its own."""
@@ -66,8 +72,8 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        df.write.mode("overwrite").options(**PLAIN).parquet(self.path(name))
+        return self.spark.read.options(**VERIFIED).schema(df.schema).parquet(self.path(name))
 
     def remove(self) -> None:
         jvm, sc = self.spark._jvm, self.spark._jsc
