@@ -117,16 +117,25 @@ def may_link(a: list[Column], n_a: Column, b: list[Column], n_b: Column, limit:
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * limit) & (apart <= limit_unequal(limit)), apart
 
 
+def only_stars(pairs: DataFrame) -> bool:
+    """Whether no node of different edges u > v has two edges to smaller nodes, or one and another to a larger node."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.agg(F.bool_or(F.expr("up + down > 1 AND up > 0"))).first()[0]
+
+
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """node, component (the smallest node it is connected with) of all nodes of edges a, b.
 
     Large and small stars by turns: every node's larger neighbours, then its smaller ones, are tied to the smallest it
-    knows. Each turn's edges are written, so lineage stays short; it ends when a turn changes nothing, which the least nodes
-    that go down with every turn bring about.
+    knows. Each turn's edges are written, so lineage stays short; it ends when there are only stars, which no turn changes
+    and which the least nodes that go down with every turn bring about. Edges that are stars already take no turn.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    before = None
     for turn in count():
+        if only_stars(pairs):
+            break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
         large = both.join(least, both.u == least.node).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -134,10 +143,6 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         small = large.join(least, large.u == least.node).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = small.unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct()
         pairs = work.table(small, f"{name}-{turn}")
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     nodes = pairs.groupBy("u").agg(F.min("v").alias("component"))
     roots = nodes.select(F.col("component").alias("u")).distinct().withColumn("component", F.col("u"))
     return nodes.unionByName(roots).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("component"))
